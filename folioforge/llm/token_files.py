@@ -26,6 +26,8 @@ the order of their texts; an empty table writes no file; other columns are not l
 
 from __future__ import annotations
 
+import gc
+import re
 import struct
 import uuid
 import zlib
@@ -43,8 +45,8 @@ MAGIC, TAIL, VERSION = b"PLANETOK", b"PLANEEND", 1
 HEAD, FOOT, ENTRY = struct.Struct("<8sBBHI"), struct.Struct("<QIQIIIQQI8s"), struct.Struct("<QIIH")
 KINDS = {"byte": 1, "bit": 2}
 MANIFEST = "part int, seq int, path string, n_ids long, n_docs long, n_bytes long, first_id long, last_id long"
-#: Texts' pieces that a worker keeps encoded.
-CACHE = 300_000
+#: Pieces, and words, that a worker keeps encoded.
+CACHE = 500_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -192,11 +194,12 @@ class PlaneReader:
 
 
 class TextEncoder:
-    """Encodes texts with the tokenizers library, each different piece of text once.
+    """Encodes texts with the tokenizers library, each different word once.
 
-    A text is cut before single spaces that stand between two characters that are not white space;
-    no match of the tokenizer's pre-split spans such a place, so the ids of the pieces, joined,
-    are the ids of the whole text. Pieces are kept as little-endian uint32 bytes.
+    A text is cut before single spaces that stand between two characters that are not white space,
+    and pieces seen for the first time further, at ``INSIDE``; no match of the tokenizer's pre-split
+    spans such places, so the ids of the parts, joined, are the ids of the whole text. Ids are kept as
+    little-endian uint32 bytes. A full cache takes no more; what it lacks is encoded each time.
     """
 
     def __init__(self, path: str):
@@ -207,36 +210,49 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > CACHE:
-            self.cache.clear()
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.cache[piece] = np.array(found.ids, "<u4").tobytes()
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that the cache lacks; they enter it while there is room."""
+        out = {}
+        for begin in range(0, len(words), 20_000):
+            chunk = words[begin : begin + 20_000]
+            for word, found in zip(chunk, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False), strict=True):
+                out[word] = np.array(found.ids, "<u4").tobytes()
+        if len(self.words) < CACHE:
+            self.words.update((w, x) for w, x in out.items() if len(w) <= 64)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. The garbage collector rests: it would walk millions of live strings."""
+        rests = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if rests:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         split = [cut(text) for text in texts]
-        get = self.cache.get
-        new = list(dict.fromkeys(p for pieces in split for p in pieces if p not in self.cache))
-        own: dict[str, bytes] = {}
-        for begin in range(0, len(new), 20_000):
-            chunk = new[begin : begin + 20_000]
-            short = [p for p in chunk if len(p) <= 64]
-            before = len(self.cache)
-            self._learn(short)
-            if len(self.cache) < before:  # cleared: what this batch still needs is encoded again below
-                own.clear()
-            for p in chunk:
-                if len(p) > 64:  # long pieces hardly come again
-                    own[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for pieces in split:
-            parts = list(map(get, pieces))
-            if None in parts:
-                parts = [x if x is not None else own.get(p) or np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p, x in zip(pieces, parts, strict=True)]
-            out.append(b"".join(parts))
-        return out
+        found = [list(map(self.pieces.get, pieces)) for pieces in split]
+        parts: dict[str, list[str]] = {}
+        for pieces, ids in zip(split, found, strict=True):
+            if None in ids:
+                for piece, x in zip(pieces, ids, strict=True):
+                    if x is None and piece not in parts:
+                        parts[piece] = INSIDE.split(piece)
+        known = self.words
+        new = self._words(list({w for words in parts.values() for w in words if w not in known}))
+        fresh = {piece: b"".join([new[w] if w in new else known[w] for w in words]) for piece, words in parts.items()}
+        if len(self.pieces) < CACHE:
+            self.pieces.update((p, x) for p, x in fresh.items() if len(p) <= 64)
+        return [b"".join(ids) if None not in ids else b"".join([fresh[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]) for pieces, ids in zip(split, found, strict=True)]
+
+
+#: Between a letter or digit and a mark or line end; and behind a single line end, before a letter.
+INSIDE = re.compile(r"(?<=[^\W_])(?=[.,;:!?|\n])|(?<=\S\n)(?=[^\W_])")
 
 
 def cut(text: str | None) -> list[str]:
