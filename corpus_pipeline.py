@@ -17,9 +17,16 @@ from folioforge.llm.common import run_dir, table, written
 from folioforge.llm.queries import vocabulary
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents too far from every centroid, and those without letters, go."""
-    return langid.identify(docs, langid.fit(docs)).where(~F.col("rejected")).select(*docs.columns)
+    return langid.accepted(docs, langid.fit(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +52,9 @@ def drop_leaked_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scan: every finding is replaced by the name of its kind; all documents stay."""
     found = secrets.scan(docs, run_dir(spark, "ledger"))
-    spans = found.where(F.size("spans") > 0).select("digest", "spans").dropDuplicates(["digest"])
-    joined = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(spans, "digest", "left").select(*docs.columns, "spans")
+    named = found.where(F.size("spans") > 0).select(F.col("digest").alias(fresh(docs, "digest")), F.col("spans").alias(fresh(docs, "spans"))).dropDuplicates([fresh(docs, "digest")])
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    joined = docs.withColumn(fresh(docs, "digest"), digest).join(named, fresh(docs, "digest"), "left").select(*docs.columns, fresh(docs, "spans"))
     at, length = docs.columns.index("text"), docs.columns.index("n_chars")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

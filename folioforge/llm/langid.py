@@ -173,3 +173,17 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(work, f"{schema}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that the model does not reject, with all their columns and no others."""
+    bound_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = shared.value.predict
+        for batch in batches:
+            yield batch.filter(pa.array([not predict(text)[2] for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -20,7 +20,7 @@ empty result; other columns of the input are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -136,19 +136,19 @@ def low_bits(n: np.ndarray, words: int) -> np.ndarray:
     return np.where(c == 64, ALL, (np.uint64(1) << (c & np.uint64(63))) - np.uint64(1))
 
 
-def forest(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
-    """Links of sorted buckets as labels: rows of one bucket share the smallest row they reach.
+def compared(fps: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, list[np.ndarray]]]:
+    """Bit-sliced comparison of the rows of sorted buckets with the later rows of their bucket.
 
-    ``fps`` has a row of bits (0, 1) for each fingerprint, ``ends`` the end of each row's bucket.
+    ``fps`` has a row of bits (0, 1) for each fingerprint, ``ends`` the end of each row's bucket. Yields
+    row numbers, the number of the first word of columns, the columns within the radius as bits, and
+    the counters, which hold ``bias(radius)`` plus the distance wherever it is within the radius.
     """
     n, n_bits = fps.shape
-    labels, begins = np.arange(n), np.searchsorted(ends, ends, side="left")
     width = -(-n // 64)
     padded = np.zeros((width * 64, n_bits), np.uint8)
     padded[:n] = fps
     planes = np.ascontiguousarray(np.packbits(padded.T, axis=1, bitorder="little")).view("<u8")
     depth = max(1, int(radius).bit_length())
-    bias = (1 << depth) - 1 - radius
     masks = np.where(fps == 1, ALL, np.uint64(0))
     for begin in range(0, n, TILE):
         rows = np.arange(begin, min(begin + TILE, n))
@@ -157,34 +157,69 @@ def forest(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
         word, last = begin // 64, -(-int(ends[rows[-1]]) // 64)
         for left in range(word, last, ACROSS // 64):
             right = min(left + ACROSS // 64, last)
-            inside = low_bits(ends[rows] - left * 64, right - left) & ~low_bits(rows + 1 - left * 64, right - left)
-            alive = inside.copy()
-            counters = [np.full(inside.shape, ALL if bias >> d & 1 else np.uint64(0)) for d in range(depth)]
+            alive = low_bits(ends[rows] - left * 64, right - left) & ~low_bits(rows + 1 - left * 64, right - left)
+            counters = [np.full(alive.shape, ALL if bias(radius) >> d & 1 else np.uint64(0)) for d in range(depth)]
             for b in range(n_bits):
                 carry = planes[b, left:right][None] ^ masks[rows, b][:, None]
                 for counter in counters:  # carry-save: add one bit to each of many counters
                     held = counter & carry
                     counter ^= carry
                     carry = held
-                alive &= ~carry
+                alive &= ~carry  # a counter that overflows is beyond the radius
                 if b % 8 == 7 and not alive.any():
                     break
             else:
-                near = np.unpackbits(np.ascontiguousarray(alive).view(np.uint8), axis=1, bitorder="little")
-                for i in np.flatnonzero(near.any(axis=1)):
-                    row = int(rows[i])
-                    found = np.unique(labels[left * 64 + np.flatnonzero(near[i])])
-                    found = np.union1d(found, labels[row : row + 1])
-                    if len(found) > 1:
-                        bucket = labels[begins[row] : ends[row]]
-                        bucket[np.isin(bucket, found[1:])] = found[0]
+                yield rows, left, alive, counters
+
+
+def bias(radius: int) -> int:
+    """Where counters start, such that one step beyond the radius overflows them."""
+    return (1 << max(1, int(radius).bit_length())) - 1 - radius
+
+
+def unpacked(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+
+
+def forest(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
+    """Links within the radius as labels: rows of one bucket share the smallest row they reach."""
+    labels, begins = np.arange(len(fps)), np.searchsorted(ends, ends, side="left")
+    for rows, left, alive, _ in compared(fps, ends, radius):
+        near = unpacked(alive)
+        for i in np.flatnonzero(near.any(axis=1)):
+            row = int(rows[i])
+            found = np.unique(labels[left * 64 + np.flatnonzero(near[i])])
+            found = np.union1d(found, labels[row : row + 1])
+            if len(found) > 1:
+                bucket = labels[begins[row] : ends[row]]
+                bucket[np.isin(bucket, found[1:])] = found[0]
     return labels
 
 
-def links(buckets: DataFrame, keys: list[str], radius: int, decide: slice) -> DataFrame:
-    """(a, b) of fingerprints within the radius, as forests of the buckets; ``decide``: the bytes compared."""
+def nearest_earlier(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
+    """For each row the nearest earlier row of its bucket within the radius, the first of equal ones; else itself."""
+    n = len(fps)
+    partner, least = np.arange(n), np.full(n, radius + 1)
+    for rows, left, alive, counters in compared(fps, ends, radius):
+        far = np.where(unpacked(alive) == 1, -bias(radius), radius + 1).astype(np.int32)
+        for d, counter in enumerate(counters):
+            far += unpacked(counter & alive).astype(np.int32) << d
+        best = far.argmin(axis=0)
+        columns = np.arange(left * 64, min(n, left * 64 + far.shape[1]))
+        found = far[best[: len(columns)], np.arange(len(columns))]
+        closer = found < least[columns]
+        least[columns[closer]] = found[closer]
+        partner[columns[closer]] = rows[best[: len(columns)][closer]]
+    return partner
+
+
+def links(buckets: DataFrame, keys: list[str], radius: int, decide: slice, joined=forest) -> DataFrame:
+    """(a, b) of fingerprints within the radius; ``decide``: the bytes compared.
+
+    ``joined`` chooses a partner for each row of a bucket. Rows stand in another order in each table.
+    """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    parted = buckets.repartition(*keys).sortWithinPartitions(*keys, "fp")
+    parted = buckets.repartition(*keys).sortWithinPartitions(*keys, F.xxhash64("tab", "fp"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(held: pa.Table) -> pa.RecordBatch:
@@ -202,7 +237,7 @@ def links(buckets: DataFrame, keys: list[str], radius: int, decide: slice) -> Da
             counts = counts[counts > 0]
             ends = np.repeat(np.cumsum(counts), counts)
             raw = np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1)[:, decide]
-            labels = forest(np.unpackbits(raw, axis=1, bitorder="little"), ends, radius)
+            labels = joined(np.unpackbits(raw, axis=1, bitorder="little"), ends, radius)
             pairs = sorted({(fp[i], fp[labels[i]]) for i in np.flatnonzero(labels != np.arange(len(labels)))})
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], schema=schema)
 
@@ -262,18 +297,23 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, prints: list[tuple[int, int]], tables: list[list[int]], again: list[list[list[int]]], radius: int, decide: slice, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id, the smallest id of all documents linked directly or through others."""
+def near_duplicates(docs: DataFrame, *, prints: list[tuple[int, int]], tables: list[list[int]], again: list[list[list[int]]], radius: int, decide: slice, joined=forest, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and component_id, the smallest id of all documents linked directly or through others.
+
+    ``check`` may drop links: it gets (a, b) and the distinct fingerprints with their ids ``first``.
+    """
     marked = written(fingerprints(docs, prints, id_col=id_col, text_col=text_col), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     buckets = dealt(distinct, tables)
     hot = written(buckets.groupBy("tab", "key").count().where(F.col("count") > HOT).select("tab", "key", F.lit(True).alias("hot")), "hot")
     if hot.isEmpty():
-        edges = links(buckets, ["tab", "key"], radius, decide)
+        edges = links(buckets, ["tab", "key"], radius, decide, joined)
     else:
         flagged = buckets.join(hot, ["tab", "key"], "left")
         cool, warm = flagged.where("hot is null").drop("hot"), flagged.where("hot").drop("hot")
-        edges = links(cool, ["tab", "key"], radius, decide).union(links(dealt(warm, tables, again), ["tab", "key", "sub", "subkey"], radius, decide))
+        edges = links(cool, ["tab", "key"], radius, decide, joined).union(links(dealt(warm, tables, again), ["tab", "key", "sub", "subkey"], radius, decide, joined))
+    if check:
+        edges = check(written(edges.distinct(), "links"), distinct)
     stars = components(edges)
     members = stars.union(stars.select("root", "root").distinct()).toDF("fp", "root").join(distinct, "fp")
     names = members.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -289,14 +329,38 @@ def contract_links(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, prints=[(3, 1)], tables=tables, again=again, radius=2, decide=slice(0, 8))
 
 
-def similar_texts(docs: DataFrame, *, words: int = 4, n_tables: int = 40, bits: int = 22, radius: int = 44) -> DataFrame:
-    """Groups of texts that share about 0.8 or more of their five-word shingles.
+def shingle_sets(docs: DataFrame, size: int, *, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and the distinct 32-bit hashes of a text's shingles."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text, size).astype(np.uint32)).view(np.int32) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "sh"])
 
-    Candidates come from sampled bits of 256-bit fingerprints over three words, which move little
-    under an edit; the radius on 256 bits over five words decides. At a Jaccard similarity J of
-    five-word shingles the expected share of differing bits is arccos(2J / (1 + J)) / pi, so 44 of
-    256 lies one standard deviation beyond J = 0.8.
+    return rows.mapInArrow(work, f"doc_id {rows.schema[0].dataType.simpleString()}, sh array<int>")
+
+
+def similar_texts(docs: DataFrame, *, similarity: float = 0.8, words: int = 4, n_tables: int = 64, bits: int = 20, radius: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts whose five-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates share sampled bits of 256-bit fingerprints over three words, which move little under an
+    edit. Of each bucket, whose rows stand in another order in each table, every row is compared with
+    all others and linked with the nearest earlier one within the radius on 256 bits over five words:
+    at a similarity J the expected share of differing bits is arccos(2J / (1 + J)) / pi, so 60 lies
+    more than three standard deviations beyond J = 0.8. Links are then checked on the shingle sets
+    themselves. Rows without id are neither candidates nor linked.
     """
     tables = sampled_tables(64 * words, n_tables, bits)
     again = [[tables[(t + s) % n_tables] for s in range(1, 9)] for t in range(n_tables)]
-    return near_duplicates(docs, prints=[(3, words), (5, words)], tables=tables, again=again, radius=radius, decide=slice(8 * words, 16 * words))
+
+    def check(edges: DataFrame, distinct: DataFrame) -> DataFrame:
+        named = edges.join(distinct.toDF("a", "x"), "a").join(distinct.toDF("b", "y"), "b").where("x is not null and y is not null")
+        named = written(named, "named")
+        used = named.select(F.col("x").alias("doc_id")).union(named.select("y")).distinct()
+        sets = written(shingle_sets(docs.join(used, docs[id_col] == used["doc_id"], "left_semi"), 5, id_col=id_col, text_col=text_col).dropDuplicates(["doc_id"]), "shingles")
+        left = named.join(sets.toDF("x", "sx"), "x")
+        both = left.join(sets.toDF("y", "sy"), "y").withColumn("n", F.size(F.array_intersect("sx", "sy")))
+        return both.where(F.col("n") >= F.lit(similarity) * (F.size("sx") + F.size("sy") - F.col("n"))).select("a", "b")
+
+    return near_duplicates(docs, prints=[(3, words), (5, words)], tables=tables, again=again, radius=radius, decide=slice(8 * words, 16 * words), joined=nearest_earlier, check=check, id_col=id_col, text_col=text_col)
