@@ -61,7 +61,8 @@ def nearest(masks: dict[str, int], m: int, text: str, budget: int) -> tuple[int,
     of equal distances the first end.
     """
     full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, None
+    up, down, score = full, 0, m
+    best = (m, 0) if m <= budget else None
     get = masks.get
     for j, c in enumerate(text):
         eq = get(c, 0)

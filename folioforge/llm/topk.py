@@ -219,7 +219,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, scale: int = 256, i
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([[{"score": s, "id": i} for s, i in row] for row in best], found_schema.types[1])], schema=found_schema)
 
     results = grouped.mapInArrow(search, "v binary, best array<struct<score:long,id:long>>")
-    rows = asked.select("v", F.explode("ids").alias("query_id")).join(results, "v")
+    rows = asked.select("v", F.explode("ids").alias("query_id")).distinct().join(results, "v")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     opened = rows.select("query_id", F.posexplode(others).alias("at", "b"))
     return opened.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), F.col("b.score").alias("score"))
