@@ -36,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ KINDS = {"byte": 1, "bit": 2}
 MANIFEST = "part int, seq int, path string, n_ids long, n_docs long, n_bytes long, first_id long, last_id long"
 #: Pieces, and words, that a worker keeps encoded.
 CACHE = 500_000
+#: Characters encoded together: the more, the fewer pieces are looked up twice.
+AT_ONCE = 16_000_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -210,7 +213,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces()
         self.words: dict[str, bytes] = {}
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
@@ -234,21 +237,61 @@ class TextEncoder:
             if rests:
                 gc.enable()
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [cut(text) for text in texts]
-        found = [list(map(self.pieces.get, pieces)) for pieces in split]
-        parts: dict[str, list[str]] = {}
-        for pieces, ids in zip(split, found, strict=True):
-            if None in ids:
-                for piece, x in zip(pieces, ids, strict=True):
-                    if x is None and piece not in parts:
-                        parts[piece] = INSIDE.split(piece)
+    def _ids(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not kept yet."""
+        parts = {key: INSIDE.split(piece_of(key)) for key in keys.difference(self.pieces)}
         known = self.words
         new = self._words(list({w for words in parts.values() for w in words if w not in known}))
-        fresh = {piece: b"".join([new[w] if w in new else known[w] for w in words]) for piece, words in parts.items()}
+        fresh = {key: b"".join([new[w] if w in new else known[w] for w in words]) for key, words in parts.items()}
         if len(self.pieces) < CACHE:
             self.pieces.update((p, x) for p, x in fresh.items() if len(p) <= 64)
-        return [b"".join(ids) if None not in ids else b"".join([fresh[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]) for pieces, ids in zip(split, found, strict=True)]
+        return fresh
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        """Texts with single white space go through arrays: the pieces of all texts are numbered, each
+        different one is looked up once, and the ids are gathered by number. Others are cut one by one."""
+        if not texts:
+            return []
+        texts = ["" if text is None else text for text in texts]
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        numbered = pieces.flatten().dictionary_encode()
+        number, words = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        begins = pieces.offsets.to_numpy()[:-1]
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
+        irregular = np.logical_or.reduceat(odd[number], begins)
+        cuts = {k: cut(texts[k]) for k in np.flatnonzero(irregular).tolist()}
+        firsts = {k: " " + words[number[begins[k]]] for k in np.flatnonzero(~irregular).tolist()}
+        needed = np.zeros(len(words), bool)
+        needed[number[~np.repeat(irregular, pieces.value_lengths().to_numpy())]] = True
+        keys = [w if need else "" for w, need in zip(words, needed.tolist(), strict=True)]
+        fresh = self._ids({k for k in keys if k}.union(firsts.values(), *cuts.values()))
+        self.pieces.fresh = fresh
+        get = self.pieces.__getitem__
+        bodies = [get(k) if k else b"" for k in keys]
+        values = np.frombuffer(b"".join(bodies), "<u4")
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[number]
+        own[begins] = 0  # a text's first piece has no space before it
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(starts[number] - (ends - own), own) + np.arange(total)
+        stream = values[at]
+        last = np.append(ends[begins[1:] - 1], total) if len(begins) else []
+        out, begin = [], 0
+        for k, end in enumerate(np.asarray(last).tolist()):
+            out.append(b"".join(map(get, cuts[k])) if k in cuts else get(firsts[k]) + stream[begin:end].tobytes())
+            begin = end
+        return out
+
+
+class Pieces(dict):
+    """Ids of pieces; what is not kept comes from the batch at hand."""
+
+    fresh: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        return self.fresh[key]
 
 
 #: Between a letter or digit and a mark or line end; and behind a single line end, before a letter.
@@ -256,18 +299,37 @@ INSIDE = re.compile(r"(?<=[^\W_])(?=[.,;:!?|\n])|(?<=\S\n)(?=[^\W_])")
 
 
 def cut(text: str | None) -> list[str]:
-    """Pieces of a text; each but the first begins with the space before it."""
+    """Keys of a text's pieces: the piece without the space that it begins with; the first, which begins
+    with none, behind a space."""
     if not text:
         return []
     words = text.split(" ")
-    pieces, last = [words[0]], words[0]
+    keys, last = [" " + words[0]], words[0]
     for word in words[1:]:
         if word and last and not word[0].isspace() and not last[-1].isspace():
-            pieces.append(" " + word)
+            keys.append(word)
         else:
-            pieces[-1] += " " + word
+            keys[-1] += " " + word
         last = word
-    return pieces
+    return keys
+
+
+def piece_of(key: str) -> str:
+    return key[1:] if key[0] == " " else " " + key
+
+
+def joined(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of several batches together, up to a number of characters in all."""
+    doc_ids, texts, held = [], [], 0
+    for batch in batches:
+        doc_ids += batch.column(0).to_pylist()
+        texts += batch.column(1).to_pylist()
+        held += sum(map(len, texts[len(texts) - batch.num_rows :]))
+        if held >= characters:
+            yield doc_ids, texts
+            doc_ids, texts, held = [], [], 0
+    if texts:
+        yield doc_ids, texts
 
 
 @lru_cache(maxsize=2)
@@ -298,9 +360,8 @@ def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, directory
             row = {"part": part, "seq": seq, "path": f"{folder}/files/{path}", "n_ids": writer.n_ids, "n_docs": len(writer.counts), "n_bytes": n_bytes, "first_id": first, "last_id": last}
             return pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
-        for batch in batches:
-            found = text_encoder(tokenizer_path).encode(batch.column(1).to_pylist())
-            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
+        for doc_ids, texts in joined(batches, AT_ONCE):
+            for doc_id, ids in zip(doc_ids, text_encoder(tokenizer_path).encode(texts), strict=True):
                 if writer is None:
                     store.create_dir(f"{base}/files", recursive=True)
                     path = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.planes"
