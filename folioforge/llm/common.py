@@ -35,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+    # a folder without scheme lies in the cluster's default store
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
@@ -61,4 +63,5 @@ def open_store(uri: str):
     """(file system, path) of a URI for the executors' own file formats."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    local = uri.startswith("file:/") and not uri.startswith("file://")  # as Hadoop writes it
+    return fs.FileSystem.from_uri(f"file://{uri[5:]}" if local else uri)
