@@ -429,3 +429,34 @@ def jsonl_union(spark, sf_dir):
     slim = [p.select("record_type", "document_name", *extra) for p, extra in zip(parts, (["reason"], [], ["extraction"]), strict=True)]
     joined = slim[0].unionByName(slim[1], allowMissingColumns=True).unionByName(slim[2], allowMissingColumns=True)
     return joined.groupBy("record_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""{TRIAGE} SELECT k, CAST(rank AS INTEGER) AS rank, CASE WHEN ref THEN 'exact' ELSE 'missing' END AS reference, CASE WHEN exact THEN 'exact' ELSE 'questionable' END AS amount,
+    CASE WHEN alike THEN 'high' ELSE 'low' END AS supplier, CASE WHEN alike THEN 1.0 ELSE 0.0 END::DOUBLE AS supplier_score,
+    CASE WHEN status = 'clean' THEN '' ELSE concat_ws(',', CASE WHEN NOT ref THEN 'invoice_id_missing_from_bank_reference' END, CASE WHEN NOT exact THEN 'amount_mismatch_requires_review' END) END AS reasons FROM top""")
+def triage_signals(spark, sf_dir):
+    best = matching.best_matches(*_sides(spark, sf_dir))
+    rows = best.select(F.col("rec_id").alias("k"), F.posexplode("matched_transactions").alias("at", "t"))
+    s = F.col("t.signal_checks")
+    return rows.select("k", (F.col("at") + 1).cast("int").alias("rank"), s["reference"]["status"].alias("reference"), s["amount"]["status"].alias("amount"), s["supplier"]["status"].alias("supplier"), s["supplier"]["score"].alias("supplier_score"), F.array_join("t.reasons", ",").alias("reasons"))
+
+
+@query("""WITH t AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS n FROM documents)
+    SELECT count(*) AS records, count(*) FILTER (doc_id % 10 <> 0) AS text_reports, count(*) FILTER (doc_id % 10 <> 0 AND n < 40) AS scanned, CAST(0 AS BIGINT) AS ocr, count(*) FILTER (doc_id % 10 = 0) AS errors FROM t""")
+def report_text_counts(spark, sf_dir):
+    null = F.lit(None)
+    d = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_name"), F.lit(1).alias("pages"), F.col("text").alias("embedded_text"), null.cast("string").alias("ocr_text"), null.cast("array<string>").alias("ocr_warnings"))
+    failed = F.col("document_name").cast("long") % 10 == 0
+    return summaries.text_counts(quality.classify(d).withColumn("record_type", F.when(failed, F.lit("error")).otherwise(F.lit("pdf_text"))))
+
+
+@query("SELECT count(*) AS records, count(*) AS candidate_reports, count(*) FILTER (o_orderkey % 9 = 0) AS empty, CAST(0 AS BIGINT) AS errors FROM orders")
+def report_candidate_counts(spark, sf_dir):
+    texts = inputs.texts(spark, sf_dir)
+    return summaries.candidate_counts(candidates.reports(texts.withColumn("text", F.when(F.col("k") % 9 != 0, F.col("text")))))
+
+
+@query(f"""WITH {ORDERS}, r AS (SELECT k, k % 47 <> 0 AND k % 53 <> 0 AS good FROM o)
+    SELECT count(*) AS records, count(*) FILTER (good) AS validated, count(*) FILTER (good AND k % 59 = 0) AS invalid_fields, count(*) FILTER (k % 47 = 0) AS errors FROM r""")
+def report_extraction_counts(spark, sf_dir):
+    return summaries.extraction_counts(inputs.records(spark, sf_dir))
