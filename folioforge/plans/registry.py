@@ -15,7 +15,6 @@ from folioforge.functions import numbers, text
 from folioforge.functions.similarity import similarity
 from folioforge.operators import candidates, evaluation, grounding, matching, quality, routing, summaries
 from folioforge.plans import inputs
-from folioforge.session import ship_package
 from folioforge.sources import files
 
 FLAGSHIP = "triage_decisions"
@@ -32,11 +31,7 @@ def query(sql: str | None = None):
     """Register a query under its function's name."""
 
     def put(f: Callable[[SparkSession, str], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[f.__name__] = run
+        QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
         return f
