@@ -10,8 +10,7 @@ large-star, small-star iteration joins the forests to components.
 ``exact_tables`` finds every pair within a small radius: of r + 2 blocks of bits, two pairs at least
 agree. A bucket of more than ``HOT`` fingerprints is dealt again by the same rule over its other
 bits, after which, for 64 bits, no bucket holds more than 2**16 different fingerprints.
-``sampled_tables`` finds pairs within larger radii with the probability of locality-sensitive
-hashing.
+``similar_texts`` finds every pair of a Jaccard similarity by prefixes of the shingle sets.
 
 Null and empty texts have the fingerprint zero, linked like any other; null ids are fingerprinted
 and linked, and never name a component; repeated rows share a fingerprint; an empty table gives an
@@ -20,6 +19,7 @@ empty result; other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
@@ -32,6 +32,8 @@ from folioforge.llm.common import bound_batches, remove, run_dir, written
 
 #: Fingerprints of a bucket from which it is dealt again; rows compared at once, with so many others.
 HOT, TILE, ACROSS = 20_000, 64, 4096
+#: Shingles of which it is known that they are common, at most.
+COMMON = 100_000
 #: Odd multipliers that make further hashes of a shingle from its first.
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -88,12 +90,6 @@ def exact_tables(places: list[int], radius: int) -> list[list[int]]:
     return [blocks[i] + blocks[j] for i, j in combinations(range(radius + 2), 2)]
 
 
-def sampled_tables(n_bits: int, n_tables: int, bits: int, seed: int = 7) -> list[list[int]]:
-    """Random bit places for locality-sensitive hashing."""
-    draw = np.random.default_rng(seed)
-    return [sorted(draw.choice(n_bits, bits, replace=False).tolist()) for _ in range(n_tables)]
-
-
 def keys_of(bits: np.ndarray, places: list[int]) -> np.ndarray:
     """Up to 63 chosen bits of each row as one number; ``bits`` has a row of 0 and 1 for each fingerprint."""
     packed = np.packbits(bits[:, places], axis=1, bitorder="little")
@@ -329,38 +325,177 @@ def contract_links(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, prints=[(3, 1)], tables=tables, again=again, radius=2, decide=slice(0, 8))
 
 
-def shingle_sets(docs: DataFrame, size: int, *, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and the distinct 32-bit hashes of a text's shingles."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def set_print(hashes: np.ndarray) -> bytes:
+    """Names a set of sorted distinct shingle hashes: 256-bit SimHash, 64-bit hash of the set, its size in 4 bytes."""
+    from xxhash import xxh64_digest
+
+    return fingerprint(hashes, 4) + xxh64_digest(hashes.tobytes()) + len(hashes).to_bytes(4, "little")
+
+
+def common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that stand in many texts, sorted, and in how many, at least.
+
+    Only the order of shingles in ``prefixes`` depends on it, which may be any order.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text, size)) for text in batch.column(1).to_pylist()]
+            found, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+            often = counts >= 3
+            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
+
+    counts = rows.mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    found = np.array([r["token"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r["n"] for r in top], np.int64)[order]
+
+
+def prefix_of(hashes: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest hashes of a set, so many that any set of that similarity has one of them in its own prefix, in order."""
+    n = len(hashes)
+    counts = np.zeros(n, np.int64)
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        counts = np.where(common[at] == hashes, often[at], 0)
+    return hashes[np.lexsort((hashes, counts))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """doc_id, fp (``set_print`` of the distinct shingles) and prefix of every row (doc_id, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, size))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = shared.value
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text, size)) for text in batch.column(1).to_pylist()]
+            parts = [prefix_of(s, similarity, common, often).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_print(s) for s in sets], pa.binary()), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "fp", "prefix"])
+
+    return rows.mapInArrow(work, f"doc_id {rows.schema[0].dataType.simpleString()}, fp binary, prefix array<long>")
+
+
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """fp and the distinct 64-bit hashes of the shingles of every row (doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text, size).astype(np.uint32)).view(np.int32) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "sh"])
+            sets = [np.unique(shingle_hashes(text, size)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_print(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "sh"])
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema[0].dataType.simpleString()}, sh array<int>")
+    return rows.mapInArrow(work, "fp binary, sh array<long>")
 
 
-def similar_texts(docs: DataFrame, *, similarity: float = 0.8, words: int = 4, n_tables: int = 64, bits: int = 20, radius: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of texts whose five-word shingles have a Jaccard similarity of ``similarity`` or more.
+def cross_pairs(begins: np.ndarray, groups: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs of different groups of a bucket, in pieces.
 
-    Candidates share sampled bits of 256-bit fingerprints over three words, which move little under an
-    edit. Of each bucket, whose rows stand in another order in each table, every row is compared with
-    all others and linked with the nearest earlier one within the radius on 256 bits over five words:
-    at a similarity J the expected share of differing bits is arccos(2J / (1 + J)) / pi, so 60 lies
-    more than three standard deviations beyond J = 0.8. Links are then checked on the shingle sets
-    themselves. Rows without id are neither candidates nor linked.
+    ``begins`` and ``groups`` have the first row of each row's bucket and, in it, of its group.
     """
-    tables = sampled_tables(64 * words, n_tables, bits)
-    again = [[tables[(t + s) % n_tables] for s in range(1, 9)] for t in range(n_tables)]
-
-    def check(edges: DataFrame, distinct: DataFrame) -> DataFrame:
-        named = edges.join(distinct.toDF("a", "x"), "a").join(distinct.toDF("b", "y"), "b").where("x is not null and y is not null")
-        named = written(named, "named")
-        used = named.select(F.col("x").alias("doc_id")).union(named.select("y")).distinct()
-        sets = written(shingle_sets(docs.join(used, docs[id_col] == used["doc_id"], "left_semi"), 5, id_col=id_col, text_col=text_col).dropDuplicates(["doc_id"]), "shingles")
-        left = named.join(sets.toDF("x", "sx"), "x")
-        both = left.join(sets.toDF("y", "sy"), "y").withColumn("n", F.size(F.array_intersect("sx", "sy")))
-        return both.where(F.col("n") >= F.lit(similarity) * (F.size("sx") + F.size("sy") - F.col("n"))).select("a", "b")
-
-    return near_duplicates(docs, prints=[(3, words), (5, words)], tables=tables, again=again, radius=radius, decide=slice(8 * words, 16 * words), joined=nearest_earlier, check=check, id_col=id_col, text_col=text_col)
+    counts = groups - begins
+    total = np.cumsum(counts)
+    row = 0
+    while row < len(counts):
+        end = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + most, side="right")))
+        n = counts[row:end]
+        i = np.repeat(np.arange(row, end), n)
+        j = begins[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        if len(i):
+            yield i, j
+        row = end
+
+
+def other_pairs(shared: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all fingerprints that share a prefix shingle, are not joined by ``stars`` (node, root) and may be similar.
+
+    The tests on sizes and places are necessary conditions of the similarity. Rows of a hot shingle are
+    split into blocks and each pair of blocks is a bucket of its own.
+    """
+    keys = ["token", "lo", "hi"]
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    known = shared.join(stars.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = written(known, "labelled")
+    zero = F.lit(0).cast("long")
+    rows = known.where(F.col("n") <= HOT).select("token", zero.alias("lo"), zero.alias("hi"), zero.alias("block"), "fp", "at", "root")
+    hot = known.where(F.col("n") > HOT)
+    mixed = written(hot.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token"), "mixed")
+    if not mixed.isEmpty():
+        blocks = F.ceil(F.col("n") / HOT)
+        tiles = hot.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
+        rows = rows.union(tiles.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "at", "root"))
+
+    def found(held: pa.Table) -> pa.RecordBatch:
+        k = np.stack([held.column(c).to_numpy() for c in keys])
+        fp, root = held.column("fp").combine_chunks().dictionary_encode(), held.column("root").combine_chunks().dictionary_encode()
+        names, code, roots = fp.dictionary, fp.indices.to_numpy().astype(np.int64), root.indices.to_numpy()
+        size = np.array([int.from_bytes(b[-4:], "little") for b in names.to_pylist()], np.int64)[code]
+        at, block, lone = held.column("at").to_numpy(), held.column("block").to_numpy(), k[1] == k[2]
+        new = np.ones(held.num_rows, bool)
+        new[1:] = (k[:, 1:] != k[:, :-1]).any(axis=0)
+        first = new.copy()
+        first[1:] |= roots[1:] != roots[:-1]
+        row = np.arange(held.num_rows)
+        begins, groups = (np.maximum.accumulate(np.where(mark, row, 0)) for mark in (new, first))
+        pairs = np.empty(0, np.int64)
+        for i, j in cross_pairs(begins, groups):
+            both = size[i] + size[j]
+            least = np.ceil(similarity * both / (1 + similarity) - 1e-9)  # shingles that similar sets share
+            # shared shingles lie at this place or behind it, unless an earlier one is shared: that has a bucket, too
+            fits = (np.minimum(size[i] - at[i], size[j] - at[j]) >= least) & (np.minimum(size[i], size[j]) >= least) & (lone[i] | (block[i] != block[j]))
+            x, y = code[i[fits]], code[j[fits]]
+            pairs = np.union1d(pairs, np.minimum(x, y) * len(names) + np.maximum(x, y))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(c)) for c in (pairs // max(1, len(names)), pairs % max(1, len(names)))], schema=schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 8192:
+                whole = pa.Table.from_batches(held)
+                k = np.stack([whole.column(c).to_numpy() for c in keys])
+                apart = np.flatnonzero((k != k[:, -1:]).any(axis=0))
+                if len(apart):  # the last bucket may go on: it waits for the next batch
+                    yield found(whole.slice(0, int(apart[-1]) + 1))
+                    held = whole.slice(int(apart[-1]) + 1).combine_chunks().to_batches()
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "root").mapInArrow(work, "a binary, b binary").distinct()
+
+
+def similar_texts(docs: DataFrame, *, similarity: float = 0.8, radius: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more; exact.
+
+    Texts with one set of shingles are one. Of two similar sets, the prefixes share a shingle. In the
+    bucket of each prefix shingle, whose rows stand in an order of its own, every set is compared with
+    all others by bit-sliced SimHash and linked with the nearest earlier one within the radius; links are
+    checked on the sets. Then every pair of a bucket that checked links have not joined is checked, too,
+    whatever its SimHash: nearness settles only which pairs come first and so need not be followed by
+    all others of a large group. Rows without id are neither candidates nor linked.
+    """
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = written(prefixes(texts, 5, similarity), "fingerprints")
+    distinct = written(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("prefix").alias("prefix")), "distinct")
+    often = distinct.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(distinct.select("fp", F.posexplode("prefix").alias("at", "token")).join(often, "token"), "shared")
+    used = shared.select("fp").distinct().join(distinct, "fp").select(F.col("first").alias("doc_id")).distinct()
+    sets = written(shingle_sets(texts.join(used, "doc_id", "left_semi"), 5).dropDuplicates(["fp"]), "shingles")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(sets.toDF("a", "sx"), "a")
+        both = left.join(sets.toDF("b", "sy"), "b").withColumn("n", F.size(F.array_intersect("sx", "sy")))
+        return written(both.where(F.col("n") >= F.lit(similarity) * (F.size("sx") + F.size("sy") - F.col("n"))).select("a", "b"), "checked")
+
+    sub = F.pmod(F.xxhash64("token", "fp"), F.ceil(F.col("n") / HOT)).alias("sub")
+    buckets = shared.select(F.pmod("token", F.lit(64)).cast("int").alias("tab"), F.col("token").alias("key"), sub, "fp")
+    near = checked(written(links(buckets, ["tab", "key", "sub"], radius, slice(0, 32), nearest_earlier).distinct(), "links"))
+    rest = checked(written(other_pairs(shared, components(near), similarity), "others"))
+    stars = components(near.union(rest))
+    members = stars.union(stars.select("root", "root").distinct()).toDF("fp", "root").join(distinct, "fp")
+    names = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    known = members.join(names, "root").select("fp", "component_id")
+    named = distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
