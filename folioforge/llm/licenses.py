@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join, with DataFrame operations only.
 
-Texts are cut into blocks (lines) and templates and blocks become sets of words. A block matches a
-template if it contains at least ``threshold`` of the template's words. Words are ordered by their
+Texts are cut into blocks (paragraphs, which end at lines without words) and templates and blocks
+become sets of words. A template of T words matches a block if a window of it, a line with the T
+words behind it, contains at least ``threshold`` of the template's words: notices may be hard-wrapped.
+Blocks are joined first, windows are read of the blocks that meet a template. Words are ordered by their
 number of blocks in the whole corpus, rare ones first; a template of T words that needs o of them
 can only be met by a block that has one of its T - o + 1 rarest words (prefix filter), has o words
 of the vocabulary (length filter), and can still reach o behind the first common word (positional
@@ -31,6 +33,9 @@ GAP_CHARS = "".join(chr(c) for c in range(0x80) if not (0x30 <= c <= 0x39 or 0x6
 #: A letter that Unicode lower-cases into ASCII, and what stands for it, so that only A-Z change.
 KELVIN, STAND_IN = "K", "к"
 
+#: Where blocks end.
+BREAK = rf"\n[{GAPS}]*\n"
+
 # The base phrases of the contract with their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -54,13 +59,14 @@ class Template:
     label: str
     words: tuple[str, ...]
     need: int
+    length: int = 0
 
 
 def templates_of(texts: Sequence[tuple[str, str]], threshold: float) -> list[Template]:
     out = []
     for label, text in texts:
         words = tuple(sorted(set(text.lower().split())))
-        out.append(Template(label, words, max(1, math.ceil(threshold * len(words) - 1e-9))))
+        out.append(Template(label, words, max(1, math.ceil(threshold * len(words) - 1e-9)), len(text.split())))
     return out
 
 
@@ -102,18 +108,30 @@ def labelled(label: str) -> Callable[[Column], Column]:
 
 
 def blocks_of(docs: DataFrame, among: Sequence[str]) -> DataFrame:
-    """key and block (lower case, number) of the lines that have a word of ``among``."""
+    """key and block (lower case, number) of the paragraphs that have a word of ``among``."""
     any_word = f"(?:^|[{GAPS}])(?:{'|'.join(sorted(among))})(?:$|[{GAPS}])"
-    lines = F.transform(F.split("low", "\n"), lambda line, i: F.struct(i.alias("no"), line.alias("line")))
+    lines = F.transform(F.split("low", BREAK), lambda line, i: F.struct(i.alias("no"), line.alias("line")))
     # a text without such a word is not cut at all
     kept = docs.where(F.col("low").rlike(any_word)).select("key", F.explode(F.filter(lines, lambda b: b["line"].rlike(any_word))).alias("b"))
     return kept.select("key", F.col("b.no").alias("no"), F.col("b.line").alias("line"))
 
 
+def most_in_window(block: Column, words: Column, length: Column) -> Column:
+    """The most of ``words`` that stand in a line of the block and the ``length`` words behind it."""
+
+    def most(lines: Column) -> Column:
+        # inside a paragraph every line has a word, so ``length`` lines hold as many words at least
+        behind = lambda i: F.slice(F.flatten(F.slice(lines, i + 2, length + 1)), F.lit(1), length)
+        window = lambda line, i: F.size(F.array_intersect(F.concat(line, behind(i)), words))
+        return F.array_max(F.transform(lines, window))
+
+    return F.get(F.transform(F.array(F.transform(F.split(block, "\n"), words_of)), most), F.lit(0))
+
+
 def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     """The vocabulary, a fixed and short list, by number of blocks in the whole corpus, rare first."""
     known = F.array(*map(F.lit, vocabulary))
-    seen = docs.select(F.explode(F.flatten(F.transform(F.split("low", "\n"), lambda line: F.array_intersect(words_of(line), known)))).alias("word"))
+    seen = docs.select(F.explode(F.flatten(F.transform(F.split("low", BREAK), lambda line: F.array_intersect(words_of(line), known)))).alias("word"))
     counts = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
@@ -130,18 +148,19 @@ def similarity_join(docs: DataFrame, texts: Sequence[tuple[str, str]] = TEMPLATE
     prefixes = []
     for n, t in enumerate(templates):
         own = sorted(rank[w] for w in t.words)
-        prefixes += [(own[i], n, t.label, i, len(own), t.need, own) for i in range(len(own) - t.need + 1)]
+        prefixes += [(own[i], n, t.label, i, len(own), t.need, own, list(t.words), t.length) for i in range(len(own) - t.need + 1)]
     # bounded by the templates, which are constants
-    table = F.broadcast(spark.createDataFrame(prefixes, "word int, template int, label string, at int, size int, need int, own array<int>"))
+    table = F.broadcast(spark.createDataFrame(prefixes, "word int, template int, label string, at int, size int, need int, own array<int>, words array<string>, length int"))
     fewest = min(t.need for t in templates)
     ranks = F.create_map(*[F.lit(x) for w, k in rank.items() for x in (w, k)])
     known = F.array(*map(F.lit, order))
-    blocks = blocks_of(docs, {order[p[0]] for p in prefixes}).select("key", "no", F.sort_array(F.transform(F.array_intersect(words_of(F.col("line")), known), lambda w: F.element_at(ranks, w))).alias("have"))
-    opened = blocks.where(F.size("have") >= fewest).select("key", "no", "have", F.posexplode(F.slice("have", F.lit(1), F.size("have") - fewest + 1)).alias("spot", "word"))
+    blocks = blocks_of(docs, {order[p[0]] for p in prefixes}).select("key", "no", "line", F.sort_array(F.transform(F.array_intersect(words_of(F.col("line")), known), lambda w: F.element_at(ranks, w))).alias("have"))
+    opened = blocks.where(F.size("have") >= fewest).select("key", "no", "line", "have", F.posexplode(F.slice("have", F.lit(1), F.size("have") - fewest + 1)).alias("spot", "word"))
     reach = 1 + F.least(F.col("size") - F.col("at") - 1, F.size("have") - F.col("spot") - 1)
     candidates = opened.join(table, "word").where((F.size("have") >= F.col("need")) & (reach >= F.col("need")))
     overlap = F.size(F.array_intersect("have", "own"))
-    met = candidates.where(overlap >= F.col("need")).select("key", "no", "template", "label", (overlap / F.col("size")).alias("containment"))
+    inside = candidates.where(overlap >= F.col("need")).withColumn("found", most_in_window(F.col("line"), F.col("words"), F.col("length")))
+    met = inside.where("found >= need").select("key", "no", "template", "label", (F.col("found") / F.col("size")).alias("containment"))
     return met.groupBy("key", "no", "template", "label").agg(F.first("containment").alias("containment"))
 
 
