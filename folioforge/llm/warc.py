@@ -155,7 +155,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record that starts at ``at``; ValueError if a check fails."""
     if not data.startswith(b"WARC/1.", at):
         raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 16))
+    stop = data.find(b"\r\n\r\n", at, at + MOST)
     if stop < 0:
         raise ValueError("headers do not end")
     headers = {}
@@ -197,8 +197,11 @@ def member_at(window: Window, offset: int) -> tuple[bytes, int]:
 
 def plain_at(window: Window, offset: int) -> tuple[bytes, int]:
     """The uncompressed record at ``offset`` and its end."""
-    head = window.get(offset, 1 << 16)
-    stop = head.find(b"\r\n\r\n")
+    ahead = 1 << 16
+    head = window.get(offset, ahead)
+    while (stop := head.find(b"\r\n\r\n")) < 0 and len(head) == ahead < MOST:
+        ahead *= 4
+        head = window.get(offset, ahead)
     length = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,12})[ \t]*\r\n", head[: stop + 2], re.IGNORECASE) if stop > 0 else None
     if not length:
         raise ValueError("no content length")
@@ -266,29 +269,36 @@ def row_of(path: str, found: Found, with_payload: bool) -> dict:
 
 
 def read_archives(archives: DataFrame, *, with_payload: bool = True) -> DataFrame:
-    """Records and gaps of the archives named by the column ``path``, as RECORDS."""
+    """Records and gaps of the archives named by the column ``path``, as RECORDS.
+
+    With a column ``n_records``, reading fails if an archive gives another number of records.
+    """
+    counted = "n_records" in archives.columns
     types = [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("reason", pa.string())]
     schema = pa.schema(types)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, *expected in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, place = open_store(path)
                 with store.open_input_file(place) as source:
-                    rows, held = [], 0
+                    rows, held, n = [], 0, 0
                     for found in salvage(source, source.size()):
+                        n += found.kind == "record"
                         rows.append(row_of(path, found, with_payload))
                         held += len(rows[-1].get("payload") or b"")
                         if len(rows) >= 1000 or held >= 32 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, held = [], 0
+                    if expected and n != expected[0]:
+                        raise RuntimeError(f"{path} has {n} readable records of {expected[0]} written")
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return archives.select("path").mapInArrow(work, RECORDS)
+    return archives.select("path", *["n_records"] * counted).mapInArrow(work, RECORDS)
 
 
 def read_folder(spark, folder: str, *, with_payload: bool = True) -> DataFrame:
-    """Records of a folder that ``write_pages`` made; one task a file."""
+    """Records of a folder that ``write_pages`` made; one task a file. Fails if any is missing."""
     files = spark.read.schema("path string, n_records long, n_bytes long").parquet(f"{folder}/manifest")
     return read_archives(files.repartition(max(1, files.count()), "path"), with_payload=with_payload)
