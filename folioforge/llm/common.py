@@ -5,11 +5,17 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch at most; bounds the memory of the Python workers on wide texts.
+#: Rows that a Python worker handles at once; Spark bounds the bytes of its batches, this the lists made of them.
 BATCH_ROWS = 1000
+#: Groups that may be hot at most: those that hold more than this part of all rows.
+HOT_GROUPS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower Spark's Arrow batch size to ``rows`` if it is larger."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -24,6 +37,12 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def store_of(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path) of a path; one without scheme lies in the cluster's default store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -35,28 +54,55 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         spark.conf.set("spark.checkpoint.dir", found)
-    # a folder without scheme lies in the cluster's default store
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    store, target = store_of(spark, found)
+    return store.makeQualified(target).toString()
+
+
+def session_dir(spark: SparkSession) -> str:
+    """The folder for this application's working files, which goes when the application ends."""
+    path = posixpath.join(shared_dir(spark), f"folioforge-{spark.sparkContext.applicationId}")
+    store, target = store_of(spark, path)
+    store.mkdirs(target)
+    store.deleteOnExit(target)
+    return path
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name inside the shared folder."""
-    return posixpath.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new name inside the folder of this application."""
+    return posixpath.join(session_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark drops the shuffle files of each action as it ends; the session's setting comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: work is done once and lineage is cut."""
+
+def written(df: DataFrame, label: str, kept: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: work is done once, lineage is cut and no shuffle files stay.
+
+    ``kept`` gets the folder's name, for those who delete it before the application ends.
+    """
     spark = df.sparkSession
     path = run_dir(spark, label)
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
+    if kept is not None:
+        kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared store."""
+    for path in paths:
+        store, target = store_of(spark, path)
+        store.delete(target, True)
 
 
 def open_store(uri: str):
@@ -65,3 +111,21 @@ def open_store(uri: str):
 
     local = uri.startswith("file:/") and not uri.startswith("file://")  # as Hadoop writes it
     return fs.FileSystem.from_uri(f"file://{uri[5:]}" if local else uri)
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, on: Sequence[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, one row for each key, such that no key lands in one task.
+
+    ``facts`` says in column ``n``, which is dropped, how many rows a key has; they add up to ``total``. Keys
+    with more than ``total / HOT_GROUPS`` rows number ``HOT_GROUPS`` at most, so these facts are broadcast;
+    all others meet in a shuffle. ``facts`` should be written, as it is read twice. Keys are not null.
+    """
+    hot = F.col(n) > max(1, total // HOT_GROUPS)
+    values = [c for c in facts.columns if c not in (*on, n)]
+    few = facts.where(hot).select(*on, F.struct(F.lit(True).alias("_"), *values).alias("_hot"))
+    if few.isEmpty():
+        return rows.join(facts.drop(n), list(on)).select(*rows.columns, *values)
+    marked = rows.join(F.broadcast(few), list(on), "left")
+    common = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in values])
+    rare = marked.where("_hot is null").drop("_hot").join(facts.where(~hot).drop(n), list(on)).select(*rows.columns, *values)
+    return common.union(rare)

@@ -8,7 +8,8 @@ limits come from the learning rows, cut to many lengths, as short texts lie furt
 
 The model is learned on a bounded sample: ``per_language`` rows of each of the ``max_languages``
 most frequent languages, and ``sample_chars`` characters of each row, chosen by a hash of the id.
-Prediction reads whole texts, in pieces of ``PIECE`` characters that share their edges.
+Prediction reads whole texts; long ones in pieces of ``PIECE`` characters, whose counts add up to those
+of the text in one piece.
 
 A null text or one without letters is ``und`` with score 0 and rejected. Ties go to the language
 that sorts first. Without rows to learn from, everything is ``und``. Repeated rows get equal
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import bound_batches
+from folioforge.llm.common import slices
 
 DIMENSIONS, ORDERS, PIECE = 4096, 3, 1 << 20
 UNKNOWN = "und"
@@ -43,21 +44,31 @@ def _letters() -> np.ndarray:
 def ngram_counts(text: str) -> tuple[np.ndarray, int]:
     """Hashed counts of the letter n-grams of a whole text, and its number of letters."""
     total, n_letters = np.zeros(DIMENSIONS, np.int64), 0
+    # what the next piece needs of those before: their last points, and whether a letter came last
+    tail, after_letter = np.array([32], np.uint32), False
     for begin in range(0, max(1, len(text)), PIECE):
-        lowered = text[max(0, begin - ORDERS + 1) : begin + PIECE].lower()
+        # by itself the capital sigma always becomes the same letter, wherever a piece ends
+        lowered = text[begin : begin + PIECE].replace("Σ", "σ").lower()
         points = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), "<u4")
         is_letter = _letters()[points]
         n_letters += int(np.count_nonzero(is_letter))
-        points = np.where(is_letter, points, np.uint32(32))
         keep = is_letter.copy()
-        keep[1:] |= is_letter[:-1]
-        points = np.concatenate([[32], points[keep], [32]]).astype(np.uint32)
+        if len(points):
+            keep[0] |= after_letter
+            keep[1:] |= is_letter[:-1]
+            after_letter = bool(is_letter[-1])
+        own = np.where(is_letter, points, np.uint32(32))[keep]
+        stream = np.concatenate([tail, own, [32] if begin + PIECE >= len(text) else []]).astype(np.uint32)
         for n in range(1, ORDERS + 1):
-            if len(points) >= n:
-                h = np.full(len(points) - n + 1, n, np.uint32)
+            # n-grams that end behind the tail
+            first = max(0, len(tail) - n + 1) if begin else 0
+            if len(stream) >= first + n:
+                size = len(stream) - n + 1 - first
+                h = np.full(size, n, np.uint32)
                 for k in range(n):
-                    h = (h ^ points[k : len(points) - n + 1 + k]) * MIX[k]
+                    h = (h ^ stream[first + k : first + k + size]) * MIX[k]
                 total += np.bincount((h ^ (h >> np.uint32(15))) % np.uint32(DIMENSIONS), minlength=DIMENSIONS)
+        tail = stream[-(ORDERS - 1) :]
     return total, n_letters
 
 
@@ -159,14 +170,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected. The model's size is fixed by its parameters."""
-    bound_batches(docs.sparkSession)
     rows = docs.drop("lang_pred", "score", "rejected")
     at = rows.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predict
-        for batch in batches:
+        for batch in slices(batches):
             found = [predict(text) for text in batch.column(at).to_pylist()]
             more = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
@@ -177,13 +187,12 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
 
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that the model does not reject, with all their columns and no others."""
-    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predict
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([not predict(text)[2] for text in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

@@ -8,7 +8,8 @@ the rule version, so old findings stay valid for old rules.
 Copies of one text, however many, leave each input partition once, as a compressed blob; the
 findings meet the paths in a join on the digest that adaptive execution splits where it is skewed.
 Appends go through Spark's committer, so a lost job adds nothing; pairs that two runs added twice
-count once on reading.
+count once on reading. Runs that name the same ledger share it; ``session_ledger`` is the one of an
+application, which its queries and its corpus pipeline use together.
 
 Nulls count as empty texts, which have no findings; empty tables give empty results; repeated rows
 each get their findings; other columns of the input are not looked at.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import bound_batches
+from folioforge.llm.common import session_dir, slices, store_of, tidy
 
 
 @dataclass(frozen=True)
@@ -45,13 +46,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32),
 )
-# Public token formats; repetitions are bounded, so that a scan stays linear.
+# Public token formats. Runs have no upper bound; they are possessive and each starts behind
+# a character that it cannot hold, so every character is read a bounded number of times.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,16384}"),
-    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}"),
-    Rule("forge", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat", r"(?<![A-Za-z0-9])xox[abeprs]-[A-Za-z0-9-]{10,255}"),
-    Rule("login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,30}://[^\s:/@]{1,128}:[^\s:/@]{1,128}@"),
+    # up to the end line; without one, the marker with the long base64 lines behind it
+    Rule("pem", r"-----BEGIN [A-Z ]*?PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*?PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{16,}+)*+)"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
+    Rule("forge", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}+"),
+    Rule("chat", r"(?<![A-Za-z0-9])xox[abeprs]-[A-Za-z0-9-]{10,}+"),
+    Rule("login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]++://[^\s:/@]++:[^\s:/@]++@"),
 )
 RULES = BASE_RULES + MORE_RULES
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -93,7 +96,7 @@ def _blobs(versions: DataFrame) -> DataFrame:
         import zstandard
 
         pack, seen = zstandard.ZstdCompressor(level=1).compress, set()
-        for batch in batches:
+        for batch in slices(batches):
             kept: list[tuple[bytes, bytes]] = []
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if digest not in seen:
@@ -112,7 +115,7 @@ def _scanned(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         import zstandard
 
         unpack, ready, seen = zstandard.ZstdDecompressor().decompress, compiled(rules), set()
-        for batch in batches:
+        for batch in slices(batches):
             digests, spans = [], []
             for digest, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if digest not in seen:
@@ -125,8 +128,13 @@ def _scanned(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def _exists(spark, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    store, target = store_of(spark, path)
+    return store.exists(target)
+
+
+def session_ledger(spark) -> str:
+    """The ledger of this application."""
+    return f"{session_dir(spark)}/secret-ledger"
 
 
 def read_ledger(spark, ledger: str) -> DataFrame:
@@ -137,7 +145,6 @@ def read_ledger(spark, ledger: str) -> DataFrame:
 def scan(docs: DataFrame, ledger: str, *, id_cols: Sequence[str] = ("doc_id",), text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Scan what ``ledger`` lacks, append it there, and return ``id_cols``, ``digest`` and ``spans`` of every row."""
     spark = docs.sparkSession
-    bound_batches(spark)
     version = rule_version(rules)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     versions = docs.select(*id_cols, F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
@@ -145,7 +152,8 @@ def scan(docs: DataFrame, ledger: str, *, id_cols: Sequence[str] = ("doc_id",),
     if _exists(spark, ledger):
         blobs = blobs.join(read_ledger(spark, ledger).where(F.col("rule_version") == version).select("digest"), "digest", "left_anti")
     fresh = _scanned(blobs.repartition("digest"), rules)
-    fresh.select("digest", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(ledger)
+    with tidy(spark):
+        fresh.select("digest", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(ledger)
     findings = read_ledger(spark, ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("digest", "spans").dropDuplicates(["digest"])
     found = versions.drop("text").join(findings, "digest", "left")
     return found.select(*id_cols, F.lower(F.hex("digest")).alias("digest"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))

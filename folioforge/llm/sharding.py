@@ -2,9 +2,9 @@
 
 The shard of a row depends on its key and the number of shards alone, no table of a ring is kept,
 and with one shard more, a row either stays or moves into the new shard. Slots number the rows of
-each shard without gaps: equal rows are first counted together, rows are dealt into blocks by
-another hash of the key, and the blocks' counts give each block its first slot. So no task sees a
-whole shard and a key that fills a third of the table costs one counted row a task.
+each shard without gaps: equal rows are first counted together, counted rows are dealt into blocks by
+a hash of all their values, and the blocks' counts give each block its first slot. So no task sees a
+whole shard, nor all rows of a key, however many texts the key has.
 
 Null keys are one key; a null text has size 1 (no bytes plus 1) and checksum 0, that of no bytes;
 repeated rows get slots of their own; an empty table gives an empty result; other columns of the
@@ -63,8 +63,7 @@ def assign(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: st
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(id_col).alias("key"),
-        F.pmod(F.xxhash64(id_col, F.lit("block")), F.lit(blocks)).cast("long").alias("block"),
-    )
+    ).withColumn("block", F.pmod(F.xxhash64("id", "size", "text_crc32", F.lit("block")), F.lit(blocks)).cast("long"))
     same = ["shard", "grown_shard", "block", "id", "size", "text_crc32"]
     dealt = written(with_shards(keyed, shards).groupBy(*same).agg(F.count("*").alias("n")), "shards")
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

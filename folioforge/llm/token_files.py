@@ -18,10 +18,14 @@ Layout, little-endian::
 ``write_documents`` sorts the documents by id over range partitions; each task writes files with
 names of its own and returns a row of the manifest for each, and only files in the manifest count,
 so a repeated or lost task leaves at worst a file that nobody reads. Files end at document
-boundaries and near ``file_ids`` ids.
+boundaries and near ``file_ids`` ids. Rows that share an id are ordered, and dealt to tasks, by a hash of
+their texts, so an id that many texts have is no task's alone.
 
-Nulls count as empty texts, which give the end id alone; null ids sort first; repeated ids stay in
-the order of their texts; an empty table writes no file; other columns are not looked at.
+Strings of the tokenizer's special tokens in a text become those tokens, as the library does it, or
+ordinary text with ``special_as_text``.
+
+Nulls count as empty texts, which give the end id alone; null ids sort first; rows of one id stand in
+the order of their texts' hashes; an empty table writes no file; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import bound_batches, open_store, run_dir
+from folioforge.llm.common import open_store, run_dir, slices, tidy
 
 MAGIC, TAIL, VERSION = b"PLANETOK", b"PLANEEND", 1
 HEAD, FOOT, ENTRY = struct.Struct("<8sBBHI"), struct.Struct("<QIQIIIQQI8s"), struct.Struct("<QIIH")
@@ -202,17 +206,20 @@ class TextEncoder:
     A text is cut before single spaces that stand between two characters that are not white space,
     and pieces seen for the first time further, at ``INSIDE``; no match of the tokenizer's pre-split
     spans such places, so the ids of the parts, joined, are the ids of the whole text. Ids are kept as
-    little-endian uint32 bytes. A full cache takes no more; what it lacks is encoded each time.
+    little-endian uint32 bytes. A full cache takes no more; what it lacks is encoded each time. Texts
+    that hold the string of an added token are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces = Pieces()
         self.words: dict[str, bytes] = {}
 
@@ -229,13 +236,17 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text. The garbage collector rests: it would walk millions of live strings."""
+        whole = {k for k, text in enumerate(texts) if text and self.added and self.added.search(text)}
         rests = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            out = self._encode([None if k in whole else text for k, text in enumerate(texts)])
         finally:
             if rests:
                 gc.enable()
+        for k in whole:
+            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def _ids(self, keys: set[str]) -> dict[str, bytes]:
         """Ids of pieces that are not kept yet."""
@@ -298,20 +309,18 @@ class Pieces(dict):
 INSIDE = re.compile(r"(?<=[^\W_])(?=[.,;:!?|\n])|(?<=\S\n)(?=[^\W_])")
 
 
+#: A single space between two characters that are not white space.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+
+
 def cut(text: str | None) -> list[str]:
     """Keys of a text's pieces: the piece without the space that it begins with; the first, which begins
     with none, behind a space."""
     if not text:
         return []
-    words = text.split(" ")
-    keys, last = [" " + words[0]], words[0]
-    for word in words[1:]:
-        if word and last and not word[0].isspace() and not last[-1].isspace():
-            keys.append(word)
-        else:
-            keys[-1] += " " + word
-        last = word
-    return keys
+    places = [found.start() for found in BETWEEN.finditer(text)]
+    ends = [*places, len(text)]
+    return [" " + text[: ends[0]], *[text[a + 1 : b] for a, b in zip(places, ends[1:], strict=True)]]
 
 
 def piece_of(key: str) -> str:
@@ -321,7 +330,7 @@ def piece_of(key: str) -> str:
 def joined(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of several batches together, up to a number of characters in all."""
     doc_ids, texts, held = [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         doc_ids += batch.column(0).to_pylist()
         texts += batch.column(1).to_pylist()
         held += sum(map(len, texts[len(texts) - batch.num_rows :]))
@@ -333,17 +342,19 @@ def joined(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tuple
 
 
 @lru_cache(maxsize=2)
-def text_encoder(path: str) -> TextEncoder:
-    return TextEncoder(path)
+def text_encoder(path: str, special_as_text: bool = False) -> TextEncoder:
+    return TextEncoder(path, special_as_text)
+
 
+def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 16, kind: str = "byte", file_ids: int = 1 << 26, special_as_text: bool = False) -> str:
+    """Encode and write all documents in ascending id order; the folder with the files and their manifest.
 
-def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 16, kind: str = "byte", file_ids: int = 1 << 26) -> str:
-    """Encode and write all documents in ascending id order; the folder with the files and their manifest."""
+    Without ``directory`` it is a working folder, which goes when the application ends.
+    """
     spark = docs.sparkSession
-    bound_batches(spark)
     folder = directory or run_dir(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -361,7 +372,7 @@ def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, directory
             return pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
         for doc_ids, texts in joined(batches, AT_ONCE):
-            for doc_id, ids in zip(doc_ids, text_encoder(tokenizer_path).encode(texts), strict=True):
+            for doc_id, ids in zip(doc_ids, text_encoder(tokenizer_path, special_as_text).encode(texts), strict=True):
                 if writer is None:
                     store.create_dir(f"{base}/files", recursive=True)
                     path = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.planes"
@@ -375,7 +386,8 @@ def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, directory
         if writer is not None:
             yield done()
 
-    ordered.mapInArrow(work, MANIFEST).write.parquet(f"{folder}/manifest")
+    with tidy(spark):
+        ordered.mapInArrow(work, MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import bound_batches, open_store, run_dir
+from folioforge.llm.common import open_store, run_dir, slices, tidy
 
 # Fixed values of the format.
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
-#: Bytes read at once, and of a record at most.
-STEP, MOST = 1 << 20, 1 << 30
+#: Bytes read at once, and of a member at most: four times what a page's columns can hold.
+STEP, MOST = 1 << 20, 1 << 34
 MANIFEST = pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 RECORDS = "path string, offset long, length long, kind string, record_type string, record_id string, uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, reason string"
 
@@ -81,7 +81,6 @@ def with_references(pages: DataFrame, least: int = 1000) -> DataFrame:
 def write_pages(pages: DataFrame, directory: str | None = None, *, least: int = 1000, date: str = "2000-01-01T00:00:00Z", level: int = 3, file_bytes: int = 1 << 27) -> str:
     """Write one record a row of ``pages`` (page_id, url, html); the folder with files and manifest."""
     spark = pages.sparkSession
-    bound_batches(spark)
     folder = directory or run_dir(spark, "warc")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +91,7 @@ def write_pages(pages: DataFrame, directory: str | None = None, *, least: int =
             out.close()
             return pa.RecordBatch.from_pylist([{"path": f"{folder}/files/{name}", "n_records": n, "n_bytes": size}], schema=MANIFEST)
 
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
@@ -108,7 +107,8 @@ def write_pages(pages: DataFrame, directory: str | None = None, *, least: int =
         if out is not None:
             yield done()
 
-    with_references(pages, least).mapInArrow(work, "path string, n_records long, n_bytes long").write.parquet(f"{folder}/manifest")
+    with tidy(spark):
+        with_references(pages, least).mapInArrow(work, "path string, n_records long, n_bytes long").write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -155,7 +155,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record that starts at ``at``; ValueError if a check fails."""
     if not data.startswith(b"WARC/1.", at):
         raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + MOST)
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise ValueError("headers do not end")
     headers = {}
@@ -195,22 +195,26 @@ def member_at(window: Window, offset: int) -> tuple[bytes, int]:
     return b"".join(parts), at - len(unpack.unused_data)
 
 
+#: How a record begins: its version line and the name of a header.
+BEGINNING = re.compile(rb"WARC/1\.\d\r\n[!-9;-~]+[ \t]*:")
+
+
 def plain_at(window: Window, offset: int) -> tuple[bytes, int]:
-    """The uncompressed record at ``offset`` and its end."""
-    ahead = 1 << 16
-    head = window.get(offset, ahead)
-    while (stop := head.find(b"\r\n\r\n")) < 0 and len(head) == ahead < MOST:
-        ahead *= 4
-        head = window.get(offset, ahead)
-    length = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,12})[ \t]*\r\n", head[: stop + 2], re.IGNORECASE) if stop > 0 else None
+    """The uncompressed record at ``offset`` and its end. Nothing is read whole before its ends are seen."""
+    if not BEGINNING.match(window.get(offset, 1 << 12)):
+        raise ValueError("no version line")
+    stop = window.find((b"\r\n\r\n",), offset)
+    if stop == window.size:
+        raise ValueError("headers do not end")
+    length = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,15})[ \t]*\r\n", window.get(offset, stop + 2 - offset), re.IGNORECASE)
     if not length:
         raise ValueError("no content length")
-    n = stop + 8 + int(length[1])
-    if n > MOST:
-        raise ValueError("the record is too large")
-    data = window.get(offset, n)
+    end = stop + 8 + int(length[1])
+    if end > window.size or window.get(end - 4, 4) != b"\r\n\r\n":
+        raise ValueError("the length is wrong")
+    data = window.get(offset, end - offset)
     parse(data)
-    return data, offset + n
+    return data, end
 
 
 def records_at(window: Window, offset: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:

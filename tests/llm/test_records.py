@@ -42,7 +42,18 @@ def check_slots(rows):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_one_id_with_many_texts_is_dealt_to_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 100)
+    docs = spark.range(2000).selectExpr("cast(null as long) doc_id", "concat('text ', id % 1500) text")
+    rows = sharding.assign(docs, 8).collect()
+    check_slots(rows)
+    assert len(rows) == 2000 and len({r.shard for r in rows}) == 1
+    plan = sharding.assign(docs, 8)._jdf.queryExecution().toString()
+    assert "windowspecdefinition(shard" in plan and "block" in plan
+
+
 def test_op1_whole_table(spark):
+    keys = {r.doc_id: r.key for r in table(spark, SMALL, "documents").select("doc_id", F.xxhash64("doc_id").alias("key")).collect()}
     texts = {r.doc_id: r.text for r in table(spark, SMALL, "documents").collect()}
     rows = QUERIES["op1_sharding"](spark, SMALL).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
@@ -50,7 +61,7 @@ def test_op1_whole_table(spark):
     for r in rows:
         data = texts[r.doc_id].encode()
         assert (r.size, r.text_crc32, r.law) == (len(data) + 1, zlib.crc32(data), "key")
-        assert 0 <= r.shard < 8 and r.grown_shard in (r.shard, 8)
+        assert (r.shard, r.grown_shard) == (jump_one(keys[r.doc_id] % 2**64, 8), jump_one(keys[r.doc_id] % 2**64, 9))
 
 
 def test_shards_of_odd_rows(spark, monkeypatch):
@@ -93,6 +104,37 @@ def test_top_k_with_ties_and_bad_rows(spark, monkeypatch):
     assert topk.top_k(few.limit(0), few.limit(0), 5).count() == 0
 
 
+def test_top_k_of_repeats_equals_its_sql(spark, tmp_path):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (100, [1.0, 2.0]), (100, [3.0, -1.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (8, [2.0, 2.0]), (8, [-1.0, 0.5]), (9, None), (0, [0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = QUERIES["op7_top_k"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    want = duckdb.sql(SQL["op7_top_k"]).select("query_id", "rank", "vec_id", "score").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 10
+
+
+def test_top_k_of_huge_values(spark):
+    rows = [(0, [1e20, 1.0]), (1, [1e20, 0.0]), (2, [-1e20, 0.0]), (3, [1e19, 5.0]), (4, [1e305, 0.0]), (5, [1.7e308, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(vectors, vectors.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(4, 2**63 - 1), (1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+    exact = spark.createDataFrame([(0, [2.0**25, 1.0]), (1, [2.0**20, 3.0]), (2, [2.0**20, 4.0])], vectors.schema)
+    got = topk.top_k(exact, exact.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 2**61 + 4 * 65536), (1, 2**61 + 3 * 65536)]
+
+
+def test_the_search_runs_in_many_tasks(spark):
+    draw = np.random.default_rng(9)
+    rows = [(i, draw.normal(size=4).tolist()) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spark.sparkContext.setJobGroup("search", "search")
+    topk.top_k(vectors, vectors.where("vec_id % 4 = 0"), 3).collect()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("search") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, name):
     for t in ("embeddings", "pages"):
@@ -212,11 +254,20 @@ def test_decontamination_of_odd_rows(spark, monkeypatch):
     near = item.upper().replace("QUICK", "QUIKC").replace(",", " --")
     docs = spark.createDataFrame([(1, "x " * 50_000 + near), (1, "x " * 50_000 + near), (2, None), (3, ""), (None, item), (5, "clean text " * 30)], "doc_id long, text string").selectExpr("*", "1 item_id", "'d' distance")
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
-    got = sorted((str(r.doc_id), r.item_id, r.distance) for r in decontam.matches(docs, bench).collect())
+    found = decontam.matches(docs, bench).collect()
+    got = sorted((str(r.doc_id), r.item_id, r.distance) for r in found)
     assert got == [("1", 1, 2), ("1", 1, 2), ("1", 4, 2), ("1", 4, 2), ("None", 1, 0), ("None", 4, 0)]
     assert decontam.matches(docs.limit(0), bench).count() == 0 and decontam.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Wie geht's?"), (2, "..."), (3, "42")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "wie GEHT s"), (2, "Hallo! Wie geht's dir?"), (3, "wie gehts"), (4, "142 or 421"), (5, "is it 42?"), (6, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in decontam.matches(docs, bench).collect()) == [(1, 1, 0), (2, 1, 0), (5, 3, 0)]
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [3, 4, 6]
+    assert decontam.clean(docs, bench.limit(0)).count() == 6 and decontam.clean(docs.limit(0), bench).count() == 0
+
+
 def test_op5_finds_every_verbatim_item(spark):
     docs = {r.doc_id: decontam.normalised(r.text) for r in table(spark, SMALL, "documents").collect()}
     items = {r.item_id: decontam.normalised(r.text) for r in table(spark, SMALL, "benchmark").collect()}

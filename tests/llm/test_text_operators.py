@@ -31,9 +31,7 @@ def empty(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
 
 
 def ranks():
@@ -130,6 +128,21 @@ def test_token_files_of_odd_rows(spark, odd, empty):
     assert token_files.read_documents(spark, folder).count() == 0
 
 
+def test_one_id_with_many_texts_is_dealt_to_many_tasks(spark):
+    docs = spark.range(3000).selectExpr("if(id % 10 = 0, id, 7) doc_id", "concat('text ', id) text").repartition(4)
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")  # else so little data is one task's
+    try:
+        folder = token_files.write_documents(docs, vocabulary("byte_bpe_50k.json"), 2)
+    finally:
+        spark.conf.unset(merged)
+    rows = token_files.read_documents(spark, folder, with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in docs.collect())
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+    files = token_files.manifest(spark, folder).where("first_id <= 7 and last_id >= 7")
+    assert files.count() > 1 and files.agg(F.max("n_docs")).first()[0] < 2500
+
+
 def test_op2_whole_table(spark):
     plain, at = tokenizer(), 0
     rows = {r.doc_id: r for r in QUERIES["op2_token_files"](spark, SMALL).collect()}
