@@ -5,10 +5,10 @@ Digits beyond ASCII are not read. Numbers of more than 20 integer digits give nu
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import is_missing, let, stripped
+from folioforge.functions.text import WHITE, is_missing, let, stripped
 
 # Supported currencies, in the order in which text is searched for them, and signs.
 CURRENCIES = ("DKK", "EUR", "USD")
@@ -26,9 +26,9 @@ def currency(value: Column, default: str | None = None) -> Column:
         out = F.when(up.isin(*CURRENCIES), up)
         for sign, currency_code in SIGNS:
             out = out.when(up == sign, F.lit(currency_code))
-        out = out.when(F.contains(up, F.lit("€")), F.lit("EUR")).when(F.contains(up, F.lit("$")), F.lit("USD")).when(up.rlike(r"(?U)\bKR\.?\b"), F.lit("DKK"))
+        out = out.when(F.contains(up, F.lit("€")), F.lit("EUR")).when(F.contains(up, F.lit("$")), F.lit("USD")).when(F.contains(up, F.lit("KR")) & up.rlike(r"(?U)\bKR\.?\b"), F.lit("DKK"))
         for currency_code in CURRENCIES:
-            out = out.when(up.rlike(rf"(?U)\b{currency_code}\b"), F.lit(currency_code))
+            out = out.when(F.contains(up, F.lit(currency_code)) & up.rlike(rf"(?U)\b{currency_code}\b"), F.lit(currency_code))
         return out
 
     return F.when(is_missing(value), chosen).otherwise(let(stripped(F.upper(value)), named))
@@ -46,57 +46,77 @@ def iso_date(value: Column) -> Column:
     return let(stripped(value), read)
 
 
-def _separated(v: Column) -> Column:
-    """Digits with a decimal point: of two kinds of separators the last is decimal; one kind is decimal
-    if it stands once before one or two digits, or last of several before two digits."""
-    last = lambda c: F.length(v) - F.instr(F.reverse(v), c)
+def first_number(value: Column) -> Column:
+    """The first number in a text as it stands there, without spaces; null if there is none."""
+    words = F.translate(F.regexp_replace(F.upper(value), MONEY_WORDS, " "), "€$", "  ")
+    return F.nullif(F.translate(F.regexp_extract(words, NUMBER, 0), " '", ""), F.lit(""))
 
-    def single(c: str) -> Column:
-        parts = F.split(v, F.lit(f"[{c}]"), -1)
-        whole, tail = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ""), F.element_at(parts, -1)
-        decimal = ((F.size(parts) == 2) & F.length(tail).isin(1, 2)) | ((F.size(parts) > 2) & (F.length(tail) == 2))
-        return F.when(decimal, F.concat(whole, F.lit("."), tail)).otherwise(F.concat(whole, tail))
 
-    comma, dot = F.contains(v, F.lit(",")), F.contains(v, F.lit("."))
-    both = F.when(last(",") > last("."), F.translate(v, ",.", ".")).otherwise(F.translate(v, ",", ""))
-    return F.when(comma & dot, both).when(comma, single(",")).when(dot, single(".")).otherwise(v)
+def bare(number: Column) -> Column:
+    """``first_number`` without brackets."""
+    return F.btrim(number, F.lit("()"))
 
 
-def _read(value: Column, body) -> Column:
-    """``body`` of (sign text, number) for the first number in a text; null if there is none."""
-    words = F.translate(F.regexp_replace(F.upper(value), MONEY_WORDS, " "), "€$", "  ")
-    found = F.nullif(F.translate(F.regexp_extract(words, NUMBER, 0), " '", ""), F.lit(""))
+#: Numbers whose last separator is decimal: it is the only one, before one or two digits; the last of several of
+#: its kind, before two digits; or the only one of its kind, behind the other kind.
+DECIMAL = r"(?s)^(?:[^.,]*[.,][^.,]{1,2}|[^.]*,[^.]*,[^.,]{2}|[^,]*\.[^,]*\.[^.,]{2}|[^,]*\.[^,]*,[^.,]*|[^.]*,[^.]*\.[^.,]*)\z"
+
+
+def decimal_text(number: Column, core: Column) -> Column:
+    """A number of ``first_number``, and its ``bare`` form, with sign, digits and a decimal point; null if separators make no sense."""
+    parted = F.translate(F.regexp_replace(core, r"(?s)[.,](?=.*[.,])", ""), ",", ".")
+    plain = F.when(core.rlike(DECIMAL), parted).when(~core.rlike(r"(?s)\..*,|,.*\."), F.translate(core, ".,", ""))
+    signed = F.startswith(number, F.lit("(")) & F.endswith(number, F.lit(")")) & ~F.startswith(core, F.lit("-")) & (F.translate(core, "0.," + WHITE, "") != "")
+    return F.when(signed, F.concat(F.lit("-"), stripped(plain))).otherwise(stripped(plain))
+
+
+def wide(text: Column) -> Column:
+    """The decimal of ``decimal_text``."""
+    return text.try_cast(WIDE)
+
 
-    def number(raw: Column) -> Column:
-        bracketed = F.startswith(raw, F.lit("(")) & F.endswith(raw, F.lit(")"))
+def as_money(text: Column) -> Column:
+    """``decimal_text`` as decimal(38,2), halves away from zero."""
+    return F.round(wide(text), 2).cast("decimal(38,2)")
 
-        def signed(core: Column) -> Column:
-            plain = let(_separated(core), lambda d: stripped(d).try_cast(WIDE))
-            return let(plain, lambda d: body(core, F.when(bracketed & (d > 0), -d).otherwise(d)))
 
-        return let(F.btrim(raw, F.lit("()")), signed)
+def as_amount(text: Column) -> Column:
+    """``decimal_text`` with two decimals, as text; a negative zero keeps its sign."""
+    shown = as_money(text).cast("string")
+    return F.when(F.startswith(text, F.lit("-")) & (shown == "0.00"), F.lit("-0.00")).otherwise(shown)
 
-    return let(found, number)
+
+def as_quantity(text: Column) -> Column:
+    """``decimal_text`` without trailing zeros."""
+    return F.rtrim(F.rtrim(wide(text).cast("string"), F.lit("0")), F.lit("."))
+
+
+def with_decimal_texts(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """``rows`` with the ``decimal_text`` of each text as a column; each step is computed once a row, as a column of its own."""
+    held = {name: f"_{name}_found" for name in texts}
+    rows = rows.withColumns({held[name]: first_number(text) for name, text in texts.items()})
+    rows = rows.withColumns({f"{h}_bare": bare(F.col(h)) for h in held.values()})
+    return rows.withColumns({name: decimal_text(F.col(h), F.col(f"{h}_bare")) for name, h in held.items()}).drop(*held.values(), *[f"{h}_bare" for h in held.values()])
+
+
+def _read(value: Column, body) -> Column:
+    """``body`` of the ``decimal_text`` of a text."""
+    return let(first_number(value), lambda found: body(decimal_text(found, bare(found))))
 
 
 def parsed(value: Column) -> Column:
     """The first number in a text, unrounded."""
-    return _read(value, lambda _, d: d)
+    return _read(value, wide)
 
 
 def money(value: Column) -> Column:
     """The first number in a text as decimal(38,2), halves away from zero."""
-    return F.round(parsed(value), 2).cast("decimal(38,2)")
+    return _read(value, as_money)
 
 
 def amount(value: Column) -> Column:
     """The first number in a text with two decimals, as text; a negative zero keeps its sign."""
-
-    def shown(core: Column, d: Column) -> Column:
-        text = F.round(d, 2).cast("decimal(38,2)").cast("string")
-        return F.when(F.startswith(core, F.lit("-")) & (text == "0.00"), F.lit("-0.00")).otherwise(text)
-
-    return _read(value, shown)
+    return _read(value, lambda text: let(text, as_amount))
 
 
 def percentage(value: Column) -> Column:
@@ -111,7 +131,7 @@ def discount(value: Column) -> Column:
 
 def quantity(value: Column) -> Column:
     """A number without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(parsed(value).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return _read(value, as_quantity)
 
 
 def two_places(value: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -45,7 +45,7 @@ def token_set_ratio(left: str, right: str) -> float:
     return best
 
 
-@F.pandas_udf(DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
     """``token_set_ratio`` of two columns; null if either is null."""
-    return pd.Series([None if a is None or b is None else token_set_ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+    return pa.array([None if a is None or b is None else token_set_ratio(a, b) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())

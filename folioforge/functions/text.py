@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,24 +15,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: White space of Unicode, as \s of a pattern with (?U) reads it.
+WHITE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def stripped(value: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE))
 
 
 def is_missing(value: Column) -> Column:
     """Null or blank."""
-    return value.isNull() | ~value.rlike(r"(?U)\S")
+    return F.coalesce(stripped(value) == "", F.lit(True))
 
 
 def present(value: Column) -> Column:
     """The value, or null if it is blank."""
-    return F.when(~is_missing(value), value)
+    return F.when(stripped(value) != "", value)
 
 
 def collapsed(value: Column) -> Column:
     """Runs of white space become one space, none at the ends."""
-    return F.btrim(F.regexp_replace(value, r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(value, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def plain_text(value: Column, upper: bool = False) -> Column:
@@ -55,6 +60,7 @@ def identifier(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(value), "[—–]", "-"), "[^A-Z0-9-]", "")
 
 
+@lru_cache(maxsize=1)
 def _folding() -> tuple[str, str]:
     """Characters whose compatibility form is one ASCII letter or digit (and marks), and those forms."""
     pairs = []
