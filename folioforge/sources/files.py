@@ -40,8 +40,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """A golden set; every line must name its document and hold an object of expected values."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id() + 1)
+    """A golden set; every line must name its document and hold an object of expected values.
+
+    A file of labels is read as one text, so that problems name the line of the file.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+    lines = whole.where(F.trim("value") != "").withColumn("at", F.col("pos") + 1)
     parsed = lines.withColumn("r", F.from_json("value", "map<string,string>"))
     golden = parsed.select("at", F.try_element_at("r", F.lit("document_name")).alias("document_name"), F.try_element_at("r", F.lit("expected")).alias("expected"))
     named, held = F.coalesce(F.col("document_name") != "", F.lit(False)), F.startswith(F.ltrim(F.coalesce("expected", F.lit(""))), F.lit("{"))
@@ -71,10 +75,18 @@ def append_traces(traces: DataFrame, path: str | None) -> None:
 
 
 def write_report(summary: DataFrame, metrics: DataFrame, failures: DataFrame, documents: DataFrame, path: str) -> None:
-    """A report as four JSON folders; the summary is also one indented file of one row."""
+    """A report as four JSON folders, and the first two again as one indented object, ``report``.
+
+    Failures and documents grow with the golden set, so they are left to their folders.
+    """
     for name, part in (("field_metrics", metrics), ("failures", failures), ("documents", documents)):
         write_records(part, f"{path}/{name}")
-    summary.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    pretty = {"ignoreNullFields": "false", "pretty": "true"}
+    summary.select(F.to_json(F.struct("*"), pretty).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    # one row a metric, of which there are some twenty
+    own = metrics.agg(F.array_sort(F.collect_list(F.struct("metric_key", *[c for c in metrics.columns if c != "metric_key"]))).alias("field_metrics"))
+    both = summary.select(F.struct("*").alias("summary")).join(own)
+    both.select(F.to_json(F.struct("*"), pretty).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/report")
 
 
 def plain(row) -> dict:

@@ -7,14 +7,18 @@ before anything reads them twice, keyed by the content's hash.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
+import os
 import shutil
 import subprocess
 import tempfile
 import time
+import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Protocol
@@ -24,13 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge import schemas
+from folioforge.functions.fields import DOCUMENT_PATHS, ITEM_PATHS, TOTAL_PATHS
 from folioforge.operators import quality
 from folioforge.operators.candidates import reports
 from folioforge.operators.grounding import validated_records
 from folioforge.operators.summaries import field_histograms, token_usage
+from folioforge.session import written
+from folioforge.sources.files import append_traces
 
 # Names of the steps in error records.
 STEP_MODEL, STEP_TEXT, STEP_OCR, STEP_CANDIDATES, STEP_GROUNDING = "openai_pdf_extraction", "pymupdf_text_extraction", "optional_ocr", "regex_candidate_extraction", "candidate_validation"
+# What the parts of a field may be.
+STATUSES, CONFIDENCES = ("found", "unknown", "invalid"), ("high", "medium", "low", "unknown")
 LANGUAGES, DPI, TIMEOUT_S = "eng+dan+deu", 300, 30
 
 
@@ -119,6 +128,48 @@ class ReplayedModel:
         return self.extractions[name], self.usage
 
 
+PROMPT = """Read the attached invoice and answer with one JSON object that fits the given schema. Copy raw_value from the
+document as it is printed and quote where it stands as evidence. Give amounts in normalized_value with a decimal point and two
+places, dates as yyyy-mm-dd and currencies as three letters. Where the document does not state a value, leave it null and set
+status to unknown. Never guess."""
+
+
+def answer_schema() -> dict:
+    """JSON schema of a model's answer."""
+    text = {"type": ["string", "null"]}
+    parts = {"raw_value": text, "normalized_value": text, "evidence": text, "status": {"enum": list(STATUSES)}, "confidence": {"enum": list(CONFIDENCES)}}
+
+    def group(names: tuple[str, ...], part: dict, **more: dict) -> dict:
+        properties = {n: part for n in names} | more
+        return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
+
+    field = group(tuple(parts), {}) | {"properties": parts}
+    return group(DOCUMENT_PATHS, field, totals=group(TOTAL_PATHS, field), line_items={"type": "array", "items": group(ITEM_PATHS, field)}, warnings={"type": "array", "items": {"type": "string"}})
+
+
+class HttpModel:
+    """A model behind an HTTP service that takes a file and a JSON schema; its key comes from the environment."""
+
+    name, prompt = "openai", PROMPT
+
+    def __init__(self, url: str, model: str, effort: str = "minimal", key_variable: str = "FOLIOFORGE_API_KEY", timeout_s: int = 120):
+        self.url, self.model, self.effort, self.key_variable, self.timeout_s = url, model, effort, key_variable, timeout_s
+
+    def request(self, name: str, content: bytes) -> dict:
+        data = f"data:application/pdf;base64,{base64.b64encode(content).decode()}"
+        parts = [{"type": "input_file", "filename": name, "file_data": data}, {"type": "input_text", "text": self.prompt}]
+        schema = {"type": "json_schema", "name": "invoice", "schema": answer_schema(), "strict": True}
+        return {"model": self.model, "reasoning": {"effort": self.effort}, "input": [{"role": "user", "content": parts}], "text": {"format": schema}}
+
+    def extract(self, name: str, content: bytes) -> tuple[dict, dict | None]:
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.key_variable, '')}"}
+        asked = urllib.request.Request(self.url, json.dumps(self.request(name, content)).encode(), headers)
+        with urllib.request.urlopen(asked, timeout=self.timeout_s) as reply:
+            answer = json.load(reply)
+        said = "".join(part.get("text", "") for item in answer.get("output", []) for part in item.get("content") or [])
+        return json.loads(said), answer.get("usage")
+
+
 def _now() -> str:
     return datetime.now(UTC).isoformat()
 
@@ -126,18 +177,22 @@ def _now() -> str:
 def read_texts(documents: DataFrame, text: Callable[[], TextProvider], ocr: Callable[[], OcrProvider] | None = None, *, scanned_below: int = quality.SCANNED, sparse_below: int = quality.SPARSE) -> tuple[DataFrame, DataFrame]:
     """(texts, errors) of documents (document_name, content). OCR only sees pages that look scanned.
 
-    Both come from one written table when the caller writes it; providers here are free to repeat.
+    A column ``recorded`` of the documents, where there is one, holds texts that were read earlier; a document
+    without one is an error. What was read is written once, as both results come from it.
     """
+    given = "recorded" in documents.columns
     schema = "document_name string, pages int, embedded_text string, ocr_text string, ocr_warnings array<string>, reason string"
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, scanner = text(), ocr() if ocr else None
         for frame in frames:
             rows = []
-            for name, content in zip(frame["document_name"], frame["content"], strict=True):
+            for name, content, known in zip(frame["document_name"], frame["content"], frame["recorded"], strict=True):
                 row: list = [name, None, None, None, None, None]
                 try:
-                    row[1], row[2] = reader.read(name, bytes(content))
+                    if given and known is None:
+                        raise ValueError(f"no recorded text for {name}")
+                    row[1], row[2] = (1, known) if given else reader.read(name, bytes(content))
                     if scanner and row[1] and len(row[2].strip()) < scanned_below:
                         row[3], row[4] = scanner.read(name, bytes(content))
                 except Exception as error:  # one bad document must not fail the others
@@ -145,7 +200,8 @@ def read_texts(documents: DataFrame, text: Callable[[], TextProvider], ocr: Call
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["document_name", "pages", "embedded_text", "ocr_text", "ocr_warnings", "reason"])
 
-    found = documents.select("document_name", "content").mapInPandas(work, schema)
+    asked = documents.select("document_name", "content", F.col("recorded") if given else F.lit(None).cast("string").alias("recorded"))
+    found = written(asked.mapInPandas(work, schema), "texts")
     return quality.classify(found.where("reason is null"), scanned_below=scanned_below, sparse_below=sparse_below), found.where("reason is not null").select("document_name", "reason")
 
 
@@ -166,19 +222,61 @@ def candidate_records(documents: DataFrame, text: Callable[[], TextProvider], oc
     return reports(texts).unionByName(errors_as_records(errors, [STEP_TEXT, STEP_CANDIDATES]), allowMissingColumns=True)
 
 
+def check_extraction(found: dict) -> None:
+    """Raise if a model's answer does not fit the schema of extractions; absent parts take their defaults."""
+
+    def field(path: str, value) -> None:
+        if value is None:
+            return
+        if not isinstance(value, dict):
+            raise ValueError(f"{path} is not a field")
+        for part in ("raw_value", "normalized_value", "evidence"):
+            if not isinstance(value.get(part), str | None):
+                raise ValueError(f"{path}.{part} is not a text")
+        for part, allowed in (("status", STATUSES), ("confidence", CONFIDENCES)):
+            if value.get(part) is not None and value[part] not in allowed:
+                raise ValueError(f"{path}.{part} is not one of {', '.join(allowed)}")
+
+    def group(path: str, value, names: tuple[str, ...]) -> None:
+        if value is not None and not isinstance(value, dict):
+            raise ValueError(f"{path} is not an object")
+        for name in names:
+            field(f"{path}.{name}".lstrip("."), (value or {}).get(name))
+
+    group("", found, DOCUMENT_PATHS)
+    group("totals", found.get("totals"), TOTAL_PATHS)
+    for name in ("line_items", "warnings"):
+        if not isinstance(found.get(name), list | None):
+            raise ValueError(f"{name} is not a list")
+    for k, item in enumerate(found.get("line_items") or []):
+        group(f"line_items[{k}]", item, ITEM_PATHS)
+    if not all(isinstance(w, str) for w in found.get("warnings") or []):
+        raise ValueError("a warning is not a text")
+
+
 def call_model(documents: DataFrame, model: Callable[[], ModelProvider], *, concurrency: int | None = None) -> DataFrame:
-    """document_name, extraction (JSON), reason and trace of each document; write before reading twice."""
+    """document_name, extraction (JSON), reason and trace of each document; write before reading twice.
+
+    A column ``recorded`` of the documents, where there is one, holds extractions made earlier, as JSON.
+    Extractions that do not fit the schema are errors.
+    """
+    given = "recorded" in documents.columns
     schema = f"document_name string, extraction_json string, reason string, trace struct<{', '.join(f.replace(' ', ': ', 1) for f in _fields(schemas.TRACE))}>"
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = model()
         for frame in frames:
             rows = []
-            for name, content in zip(frame["document_name"], frame["content"], strict=True):
+            for name, content, known in zip(frame["document_name"], frame["content"], frame["recorded"], strict=True):
                 data, began, clock = bytes(content), _now(), time.perf_counter()
                 extraction = usage = reason = error = None
                 try:
-                    found, usage = provider.extract(name, data)
+                    if given and known is None:
+                        raise ValueError(f"no recorded extraction for {name}")
+                    found, usage = (json.loads(known), None) if given else provider.extract(name, data)
+                    if not isinstance(found, dict):
+                        raise ValueError("the extraction is not an object")
+                    check_extraction(found)
                     extraction = json.dumps({**found, "document_name": name, "extraction_method": f"{provider.name}_pdf:{provider.model}:reasoning_{provider.effort}"}, ensure_ascii=False)
                 except Exception as problem:  # one bad document must not fail the others
                     reason = str(problem) or type(problem).__name__
@@ -188,7 +286,7 @@ def call_model(documents: DataFrame, model: Callable[[], ModelProvider], *, conc
                 rows.append([name, extraction, reason, trace])
             yield pd.DataFrame(rows, columns=["document_name", "extraction_json", "reason", "trace"])
 
-    rows = documents.select("document_name", "content")
+    rows = documents.select("document_name", "content", F.col("recorded") if given else F.lit(None).cast("string").alias("recorded"))
     return (rows.repartition(concurrency) if concurrency else rows).mapInPandas(work, schema)
 
 
@@ -205,8 +303,6 @@ def _fields(ddl: str) -> list[str]:
 
 def full_extraction(extraction_json):
     """The extraction with defaults: unknown status and confidence, empty lists."""
-    from folioforge.functions.fields import DOCUMENT_PATHS, ITEM_PATHS, TOTAL_PATHS
-
     raw = F.from_json(extraction_json, schemas.EXTRACTION)
 
     def field(f):
@@ -238,3 +334,33 @@ def traces(calls: DataFrame) -> DataFrame:
     t = F.col("trace")
     summary = F.when(F.col("extraction_json").isNotNull(), field_histograms(full_extraction(F.col("extraction_json"))))
     return calls.select(t.withField("usage", token_usage(t["usage"])).withField("output_summary", summary).alias("t")).select("t.*")
+
+
+@dataclass(frozen=True)
+class PipelineConfig:
+    """What a run of the extraction pipeline uses; providers are built once a task."""
+
+    model: Callable[[], ModelProvider]
+    text: Callable[[], TextProvider] = PdfText
+    ocr: Callable[[], OcrProvider] | None = None
+    trace_out: str | None = None
+    concurrency: int | None = None
+
+
+@dataclass(frozen=True)
+class PipelineRun:
+    records: DataFrame
+    traces: DataFrame
+
+
+def run_pipeline(documents: DataFrame, config: PipelineConfig, recorded: DataFrame | None = None) -> PipelineRun:
+    """Model calls, texts, candidates and grounding of all documents; traces are appended to the configured folder.
+
+    ``recorded`` (document_name, recorded) has extractions made earlier, which then stand for the model's.
+    """
+    asked = documents.drop("recorded")
+    if recorded is not None:
+        asked = asked.join(recorded.dropDuplicates(["document_name"]), "document_name", "left")
+    calls = written(call_model(asked, config.model, concurrency=config.concurrency), "calls")
+    append_traces(traces(calls), config.trace_out)
+    return PipelineRun(extraction_records(documents, calls, config.text, config.ocr), traces(calls))
