@@ -272,10 +272,44 @@ def match_amount(spark, sf_dir):
     return matching.by_amount(invoices.where("total_amount > 0"), bank)
 
 
+def _decided(spark, sf_dir) -> DataFrame:
+    return routing.triage(inputs.records(spark, sf_dir), files.bank_rows(inputs.payments(spark, sf_dir)))
+
+
 @query(f"{DECIDED} SELECT k, outcome, extraction_confidence, match_status FROM routed")
 def triage_decisions(spark, sf_dir):
-    decided = routing.triage(inputs.records(spark, sf_dir), files.bank_rows(inputs.payments(spark, sf_dir)))
-    return decided.select(F.col("rec_id").alias("k"), "outcome", "extraction_confidence", "match_status")
+    return _decided(spark, sf_dir).select(F.col("rec_id").alias("k"), "outcome", "extraction_confidence", "match_status")
+
+
+@query(f"""{DECIDED}, x AS (SELECT d.*, t1.ref, t1.exact, t1.alike, t2.points IS NOT NULL AND t2.points >= t1.points - 500 AS several,
+        [CASE WHEN NOT has_id THEN 'missing_invoice_id' END, CASE WHEN NOT has_currency THEN 'missing_currency' END, CASE WHEN NOT has_total THEN 'missing_total_amount' END,
+         CASE WHEN bad THEN 'critical_field_failed_validation:currency' END, CASE WHEN open AND NOT missing AND NOT bad THEN 'critical_candidate_validation_missing:totals.total_amount' END, CASE WHEN off THEN 'total_integrity_failed' END] AS doubt,
+        CASE WHEN t1.status = 'clean' THEN [] ELSE [CASE WHEN NOT t1.ref THEN 'invoice_id_missing_from_bank_reference' END, CASE WHEN NOT t1.exact THEN 'amount_mismatch_requires_review' END] END AS top_reasons
+        FROM d LEFT JOIN top t1 ON t1.k = d.k AND t1.rank = 1 LEFT JOIN top t2 ON t2.k = d.k AND t2.rank = 2)
+    SELECT k, CASE WHEN has_total THEN {m('c')} END AS invoice_amount, array_to_string(list_filter(CASE WHEN missing OR bad OR off THEN doubt WHEN status IS NULL THEN list_append(doubt, 'no_plausible_bank_match')
+        WHEN medium OR open THEN doubt || top_reasons || [CASE WHEN several THEN 'multiple_candidate_matches' END, 'extraction_confidence_below_auto_accept_threshold']
+        WHEN status <> 'clean' THEN doubt || top_reasons || [CASE WHEN several THEN 'multiple_candidate_matches' END, 'match_status_' || status] ELSE doubt END, lambda r: r IS NOT NULL), ';') AS reasons FROM x
+    UNION ALL SELECT k, NULL, CASE WHEN k % 47 = 0 THEN 'extraction_failed' ELSE 'unsupported_extraction_record_type:draft' END FROM o WHERE k % 47 = 0 OR k % 53 = 0""")
+def triage_reasons(spark, sf_dir):
+    return _decided(spark, sf_dir).select(F.col("rec_id").alias("k"), "invoice_amount", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query(f"""WITH {ORDERS} SELECT k, CASE WHEN k % 4 = 3 OR k % 3 = 0 THEN 'questionable' ELSE 'clean' END AS status, CASE k % 4 WHEN 3 THEN 'medium' ELSE 'high' END AS supplier,
+    CASE k % 4 WHEN 2 THEN 0.8636 WHEN 3 THEN 0.6486 ELSE 1.0 END::DOUBLE AS score, CASE k % 4 WHEN 3 THEN 'invoice_id_missing_from_bank_reference,supplier_fuzzy_match_medium:0.65'
+    ELSE CASE WHEN k % 3 = 0 THEN 'invoice_id_missing_from_bank_reference,amount_mismatch_requires_review' ELSE '' END END AS reasons FROM o WHERE k % 4 <> 3 OR k % 3 <> 0""")
+def triage_names(spark, sf_dir):
+    """Invoices without number; every order has names of its own, equal, turned round, cut short, or half another."""
+    o, k = inputs.orders(spark, sf_dir).select("k"), F.col("k")
+    digest = F.md5(k.cast("string").cast("binary"))
+    one, two = F.substring(digest, 1, 12), F.substring(digest, 13, 12)
+    party = choose(k % 4, F.concat_ws(" ", one, two), F.concat_ws(" ", two, one), F.concat_ws(" ", one, F.substring(two, 1, 6)), F.concat_ws(" ", one, F.repeat(F.lit("z"), 12)))
+    money = lambda c: c.cast("decimal(38,2)")
+    invoices = o.select(k.alias("rec_id"), F.lit(None).cast("string").alias("invoice_id"), F.concat_ws(" ", one, two).alias("supplier_name"), money(k * 10 + 10).alias("total_amount"))
+    bank = o.select(k.alias("bank_pos"), F.concat(F.lit("T"), k.cast("string")).alias("txn_id"), F.lit("").alias("date"), party.alias("counterparty"), F.lit("").alias("reference"), F.lit("").alias("category"), F.lit("").alias("raw_amount"), money(k * 10 + 10 + F.when(k % 3 == 0, 5).otherwise(0)).alias("amount"))
+    best = matching.best_matches(invoices, bank)
+    t = F.get("matched_transactions", F.lit(0))
+    s = t["signal_checks"]["supplier"]
+    return best.select(F.col("rec_id").alias("k"), t["match_status"].alias("status"), s["status"].alias("supplier"), s["score"].alias("score"), F.array_join(t["reasons"], ",").alias("reasons"))
 
 
 @query(f"{TRIAGE} SELECT k, CAST(rank AS INTEGER) AS rank, txn_id, status FROM top")
