@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker handles at once; Spark bounds the bytes of its batches, this the lists made of them.
 BATCH_ROWS = 1000
-#: Groups that may be hot at most: those that hold more than this part of all rows.
-HOT_GROUPS = 10_000
+#: Groups that may be hot at most, as they hold more than this part of all rows, and rows of a hot group at least.
+HOT_GROUPS, HOT_ROWS = 10_000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +30,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(begin, rows)
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower Spark's Arrow batch size to ``rows`` if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def store_of(spark: SparkSession, path: str):
     """(Hadoop file system, Hadoop path) of a path; one without scheme lies in the cluster's default store."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,14 +67,19 @@ def run_dir(spark: SparkSession, label: str) -> str:
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark drops the shuffle files of each action as it ends; the session's setting comes back."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    """Inside, Spark drops the shuffle files of each action as it ends, and sends Python workers few rows at once.
+
+    The session's own settings come back.
+    """
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def written(df: DataFrame, label: str, kept: list[str] | None = None) -> DataFrame:
@@ -113,14 +111,14 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(f"file://{uri[5:]}" if local else uri)
 
 
-def looked_up(rows: DataFrame, facts: DataFrame, on: Sequence[str], n: str, total: int) -> DataFrame:
+def looked_up(rows: DataFrame, facts: DataFrame, on: Sequence[str], n: str, total: int, groups: int = HOT_GROUPS) -> DataFrame:
     """Inner join of ``rows`` with ``facts``, one row for each key, such that no key lands in one task.
 
     ``facts`` says in column ``n``, which is dropped, how many rows a key has; they add up to ``total``. Keys
-    with more than ``total / HOT_GROUPS`` rows number ``HOT_GROUPS`` at most, so these facts are broadcast;
+    with more than ``total / groups`` rows number ``groups`` at most, so these facts are broadcast;
     all others meet in a shuffle. ``facts`` should be written, as it is read twice. Keys are not null.
     """
-    hot = F.col(n) > max(1, total // HOT_GROUPS)
+    hot = F.col(n) > max(HOT_ROWS, total // groups)
     values = [c for c in facts.columns if c not in (*on, n)]
     few = facts.where(hot).select(*on, F.struct(F.lit(True).alias("_"), *values).alias("_hot"))
     if few.isEmpty():

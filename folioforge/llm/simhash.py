@@ -12,9 +12,12 @@ agree. A bucket of more than ``HOT`` fingerprints is dealt again by the same rul
 bits, after which, for 64 bits, no bucket holds more than 2**16 different fingerprints.
 ``similar_texts`` finds every pair of a Jaccard similarity by prefixes of the shingle sets.
 
+Rows meet what was found for their fingerprint by ``looked_up``, so copies of one text, however many,
+are no task's alone; working tables are deleted as soon as the links are joined.
+
 Null and empty texts have the fingerprint zero, linked like any other; null ids are fingerprinted
-and linked, and never name a component; repeated rows share a fingerprint; an empty table gives an
-empty result; other columns of the input are not looked at.
+and linked, and never name a component that has an id; repeated rows share a fingerprint; an empty table
+gives an empty result; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -28,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import bound_batches, remove, run_dir, written
+from folioforge.llm.common import looked_up, remove, run_dir, slices, tidy, written
 
 #: Fingerprints of a bucket from which it is dealt again; rows compared at once, with so many others.
 HOT, TILE, ACROSS = 20_000, 64, 4096
-#: Shingles of which it is known that they are common, at most.
-COMMON = 100_000
+#: Shingles of which it is known that they are common, at most; hashes counted together; classes of a sketch.
+COMMON, AT_ONCE, CLASSES = 100_000, 4_000_000, 128
+#: Bits of 256 by which similar sets of ``MANY`` shingles or more may differ. Of sets at 0.8, 39 bits are expected to
+#: differ with a deviation of 6, so that this is seven deviations away: about one such pair in 10**12 is passed over.
+APART, MANY = 80, 64
 #: Odd multipliers that make further hashes of a shingle from its first.
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -73,11 +79,10 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
 
 def fingerprints(docs: DataFrame, prints: list[tuple[int, int]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp: the fingerprints for each (shingle size, words of 64 bits), joined."""
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [b"".join(fingerprint(shingle_hashes(text, size), words) for size, words in prints) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
 
@@ -132,12 +137,11 @@ def low_bits(n: np.ndarray, words: int) -> np.ndarray:
     return np.where(c == 64, ALL, (np.uint64(1) << (c & np.uint64(63))) - np.uint64(1))
 
 
-def compared(fps: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, list[np.ndarray]]]:
+def compared(fps: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """Bit-sliced comparison of the rows of sorted buckets with the later rows of their bucket.
 
     ``fps`` has a row of bits (0, 1) for each fingerprint, ``ends`` the end of each row's bucket. Yields
-    row numbers, the number of the first word of columns, the columns within the radius as bits, and
-    the counters, which hold ``bias(radius)`` plus the distance wherever it is within the radius.
+    row numbers, the number of the first word of columns, and the columns within the radius as bits.
     """
     n, n_bits = fps.shape
     width = -(-n // 64)
@@ -165,7 +169,7 @@ def compared(fps: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[n
                 if b % 8 == 7 and not alive.any():
                     break
             else:
-                yield rows, left, alive, counters
+                yield rows, left, alive
 
 
 def bias(radius: int) -> int:
@@ -180,7 +184,7 @@ def unpacked(words: np.ndarray) -> np.ndarray:
 def forest(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
     """Links within the radius as labels: rows of one bucket share the smallest row they reach."""
     labels, begins = np.arange(len(fps)), np.searchsorted(ends, ends, side="left")
-    for rows, left, alive, _ in compared(fps, ends, radius):
+    for rows, left, alive in compared(fps, ends, radius):
         near = unpacked(alive)
         for i in np.flatnonzero(near.any(axis=1)):
             row = int(rows[i])
@@ -192,30 +196,26 @@ def forest(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
     return labels
 
 
-def nearest_earlier(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
-    """For each row the nearest earlier row of its bucket within the radius, the first of equal ones; else itself."""
+def first_earlier(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
+    """For each row the first row of its bucket within the radius, if that is an earlier one; else itself."""
     n = len(fps)
-    partner, least = np.arange(n), np.full(n, radius + 1)
-    for rows, left, alive, counters in compared(fps, ends, radius):
-        far = np.where(unpacked(alive) == 1, -bias(radius), radius + 1).astype(np.int32)
-        for d, counter in enumerate(counters):
-            far += unpacked(counter & alive).astype(np.int32) << d
-        best = far.argmin(axis=0)
-        columns = np.arange(left * 64, min(n, left * 64 + far.shape[1]))
-        found = far[best[: len(columns)], np.arange(len(columns))]
-        closer = found < least[columns]
-        least[columns[closer]] = found[closer]
-        partner[columns[closer]] = rows[best[: len(columns)][closer]]
+    partner = np.arange(n)
+    for rows, left, alive in compared(fps, ends, radius):
+        near = unpacked(alive)
+        columns = np.arange(left * 64, min(n, left * 64 + near.shape[1]))
+        found = near.any(axis=0)[: len(columns)] & (partner[columns] == columns)
+        partner[columns[found]] = rows[near.argmax(axis=0)[: len(columns)][found]]
     return partner
 
 
 def links(buckets: DataFrame, keys: list[str], radius: int, decide: slice, joined=forest) -> DataFrame:
     """(a, b) of fingerprints within the radius; ``decide``: the bytes compared.
 
-    ``joined`` chooses a partner for each row of a bucket. Rows stand in another order in each table.
+    ``joined`` chooses a partner for each row of a bucket. Rows stand in the same order in all buckets, so
+    those that meet often choose each other again; rows that come twice count once.
     """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    parted = buckets.repartition(*keys).sortWithinPartitions(*keys, F.xxhash64("tab", "fp"))
+    parted = buckets.repartition(*keys).sortWithinPartitions(*keys, F.xxhash64("fp"), "fp")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(held: pa.Table) -> pa.RecordBatch:
@@ -223,6 +223,11 @@ def links(buckets: DataFrame, keys: list[str], radius: int, decide: slice, joine
             for key in keys:
                 k = held.column(key).to_numpy()
                 change[1:] |= k[1:] != k[:-1]
+            name = held.column("fp").combine_chunks().dictionary_encode().indices.to_numpy()
+            new = np.ones(held.num_rows, bool)
+            new[1:] = change[1:] | (name[1:] != name[:-1])
+            if not new.all():
+                held, change = held.filter(pa.array(new)), change[new]
             group = np.cumsum(change)
             sizes = np.bincount(group)
             many = np.flatnonzero(sizes[group] > 1)  # alone in a bucket: nothing to compare
@@ -259,28 +264,29 @@ def links(buckets: DataFrame, keys: list[str], radius: int, decide: slice, joine
     return parted.mapInArrow(work, "a binary, b binary")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b) that is not itself the smallest of its component.
 
-    Alternates large-star and small-star until the edges stay the same; each round is written, so
-    lineage stays short, and the round before is deleted.
+    Alternates large-star and small-star until the edges stay the same, which they do after a number of
+    rounds that grows as the squared logarithm of the nodes at most (Kiveris and others, 2014); each round
+    is written, so lineage stays short, and the round before is deleted.
     """
     spark = edges.sparkSession
 
     def keep(df: DataFrame, label: str) -> tuple[DataFrame, str, tuple]:
         path = run_dir(spark, label)
-        df.write.parquet(path)
+        with tidy(spark):
+            df.write.parquet(path)
         back = spark.read.schema("u binary, v binary").parquet(path)
         mark = back.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return back, path, tuple(mark)
 
     now, path, mark = keep(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(most):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        # the centre of a star meets all its rows; it may have very many
+        large = looked_up(both, least, ["u"], "n", 2 * mark[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         before, old = mark, path
@@ -288,34 +294,44 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         remove(spark, old)
         if mark == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, prints: list[tuple[int, int]], tables: list[list[int]], again: list[list[list[int]]], radius: int, decide: slice, joined=forest, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id, the smallest id of all documents linked directly or through others.
+def named(distinct: DataFrame, stars: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """fp, n and ``best`` of every fingerprint: the least ``first`` of its component.
 
-    ``check`` may drop links: it gets (a, b) and the distinct fingerprints with their ids ``first``.
+    ``distinct`` has fp, n (rows) and first (comparable), ``stars`` the links as ``components`` gives them.
     """
+    old: list[str] = []
+    members = written(stars.union(stars.select("root", "root").distinct()).toDF("fp", "root").join(distinct, "fp").select("fp", "root", "n", "first"), "members", old)
+    names = written(members.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("_n")), "names", old)
+    known = looked_up(members.select("fp", "root"), names, ["root"], "_n", members.count()).select("fp", "best")
+    out = written(distinct.join(known, "fp", "left").select("fp", "n", F.coalesce("best", "first").alias("best")), "named", kept)
+    remove(distinct.sparkSession, *old)
+    return out
+
+
+def least_id(id_name: str, *more: str):
+    """Order of rows by id, those without last."""
+    return F.min(F.struct(F.col(id_name).isNull().alias("lacks"), F.col(id_name).alias("id"), *more))
+
+
+def near_duplicates(docs: DataFrame, *, prints: list[tuple[int, int]], tables: list[list[int]], again: list[list[list[int]]], radius: int, decide: slice, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and component_id, the smallest id of all documents linked directly or through others."""
+    spark, old = docs.sparkSession, []
     marked = written(fingerprints(docs, prints, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = written(marked.groupBy("fp").agg(least_id("doc_id").alias("first"), F.count("*").alias("n")), "distinct", old)
     buckets = dealt(distinct, tables)
-    hot = written(buckets.groupBy("tab", "key").count().where(F.col("count") > HOT).select("tab", "key", F.lit(True).alias("hot")), "hot")
+    hot = written(buckets.groupBy("tab", "key").count().where(F.col("count") > HOT).select("tab", "key", F.lit(True).alias("hot")), "hot", old)
     if hot.isEmpty():
-        edges = links(buckets, ["tab", "key"], radius, decide, joined)
+        edges = links(buckets, ["tab", "key"], radius, decide)
     else:
         flagged = buckets.join(hot, ["tab", "key"], "left")
         cool, warm = flagged.where("hot is null").drop("hot"), flagged.where("hot").drop("hot")
-        edges = links(cool, ["tab", "key"], radius, decide, joined).union(links(dealt(warm, tables, again), ["tab", "key", "sub", "subkey"], radius, decide, joined))
-    if check:
-        edges = check(written(edges.distinct(), "links"), distinct)
-    stars = components(edges)
-    members = stars.union(stars.select("root", "root").distinct()).toDF("fp", "root").join(distinct, "fp")
-    names = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = members.join(names, "root").select("fp", "component_id")
-    named = distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+        edges = links(cool, ["tab", "key"], radius, decide).union(links(dealt(warm, tables, again), ["tab", "key", "sub", "subkey"], radius, decide))
+    found = named(distinct, components(edges)).select("fp", "n", F.col("best.id").alias("component_id"))
+    remove(spark, *old)
+    return looked_up(marked, found, ["fp"], "n", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def contract_links(docs: DataFrame) -> DataFrame:
@@ -338,18 +354,32 @@ def common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     Only the order of shingles in ``prefixes`` depends on it, which may be any order.
     """
 
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+        kept = counts >= 3
+        return pa.RecordBatch.from_arrays([pa.array(found[kept].view(np.int64)), pa.array(counts[kept].astype(np.int64))], names=["token", "n"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(text, size)) for text in batch.column(1).to_pylist()]
-            found, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-            often = counts >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
+        held, n, seen = [], 0, set()
+        for batch in slices(batches):
+            for text in batch.column(1).to_pylist():
+                hashes = np.unique(shingle_hashes(text, size))
+                name = hash(hashes.tobytes())
+                if name in seen:  # copies say nothing about how common their shingles are
+                    continue
+                seen.add(name)
+                held.append(hashes)
+                n += len(hashes)
+                if n >= AT_ONCE:
+                    yield often(held)
+                    held, n = [], 0
+        yield often(held)
 
     counts = rows.mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()
-    found = np.array([r["token"] for r in top], np.int64).view(np.uint64)
+    top = counts.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    found = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(found)
-    return found[order], np.array([r["n"] for r in top], np.int64)[order]
+    return found[order], top.column("n").to_numpy()[order]
 
 
 def prefix_of(hashes: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -362,32 +392,59 @@ def prefix_of(hashes: np.ndarray, similarity: float, common: np.ndarray, often:
     return hashes[np.lexsort((hashes, counts))][: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of ``CLASSES`` classes, up to 65535, which stands for any number."""
+    return np.minimum(np.bincount((hashes % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 65535).astype("<u2").tobytes()
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements two sets can share at most, by the rows of their sketches."""
+    least = np.minimum(a, b)
+    return least.sum(axis=1, dtype=np.int64) + np.where((least == 65535).any(axis=1), 1 << 40, 0)
+
+
+def least_shared(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """How many elements two sets of the sizes share at least if they are similar."""
+    return np.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+
+
 def prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """doc_id, fp (``set_print`` of the distinct shingles) and prefix of every row (doc_id, text)."""
+    """Every row (doc_id, text, ...) without its text but with fp (``set_print`` of the distinct shingles), id (a number
+    from it), and prefix and sketch, which are null where an earlier row of the input partition had the same fp."""
     shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, size))
+    kept = [f for f in rows.schema if f.name != "text"]
+    ordered = rows.select("text", *[f.name for f in kept])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often = shared.value
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(text, size)) for text in batch.column(1).to_pylist()]
-            parts = [prefix_of(s, similarity, common, often).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_print(s) for s in sets], pa.binary()), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "fp", "prefix"])
-
-    return rows.mapInArrow(work, f"doc_id {rows.schema[0].dataType.simpleString()}, fp binary, prefix array<long>")
+        (common, often), seen = shared.value, set()
+        for batch in slices(batches):
+            text, *others = batch.columns
+            fps, parts, sketches = [], [], []
+            for t in text.to_pylist():
+                hashes = np.unique(shingle_hashes(t, size))
+                fps.append(set_print(hashes))
+                new = fps[-1] not in seen
+                seen.add(fps[-1])
+                parts.append(prefix_of(hashes, similarity, common, often).view(np.int64) if new else None)
+                sketches.append(sketch_of(hashes) if new else None)
+            ids = np.frombuffer(b"".join(fp[32:40] for fp in fps), "<i8")
+            yield pa.RecordBatch.from_arrays([*others, pa.array(fps, pa.binary()), pa.array(ids), pa.array(parts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[*batch.schema.names[1:], "fp", "id", "prefix", "sketch"])
+
+    return ordered.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", fp binary, id long, prefix array<long>, sketch binary")
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     """fp and the distinct 64-bit hashes of the shingles of every row (doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(text, size)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_print(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "sh"])
 
     return rows.mapInArrow(work, "fp binary, sh array<long>")
 
 
-def cross_pairs(begins: np.ndarray, groups: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def cross_pairs(begins: np.ndarray, groups: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of all pairs of different groups of a bucket, in pieces.
 
     ``begins`` and ``groups`` have the first row of each row's bucket and, in it, of its group.
@@ -408,8 +465,9 @@ def cross_pairs(begins: np.ndarray, groups: np.ndarray, most: int = 1 << 21) ->
 def other_pairs(shared: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of all fingerprints that share a prefix shingle, are not joined by ``stars`` (node, root) and may be similar.
 
-    The tests on sizes and places are necessary conditions of the similarity. Rows of a hot shingle are
-    split into blocks and each pair of blocks is a bucket of its own.
+    The tests on sizes and places are necessary conditions of the similarity, and that on SimHash fails for
+    a similar pair about once in 10**12. Rows of a hot shingle are split into blocks and each pair of blocks
+    is a bucket of its own.
     """
     keys = ["token", "lo", "hi"]
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -428,7 +486,8 @@ def other_pairs(shared: DataFrame, stars: DataFrame, similarity: float) -> DataF
         k = np.stack([held.column(c).to_numpy() for c in keys])
         fp, root = held.column("fp").combine_chunks().dictionary_encode(), held.column("root").combine_chunks().dictionary_encode()
         names, code, roots = fp.dictionary, fp.indices.to_numpy().astype(np.int64), root.indices.to_numpy()
-        size = np.array([int.from_bytes(b[-4:], "little") for b in names.to_pylist()], np.int64)[code]
+        raw = np.frombuffer(b"".join(names.to_pylist()), np.uint8).reshape(len(names), -1)
+        bits, size = np.ascontiguousarray(raw[:, :32]).view("<u8"), np.ascontiguousarray(raw[:, 40:44]).view("<u4").reshape(-1).astype(np.int64)[code]
         at, block, lone = held.column("at").to_numpy(), held.column("block").to_numpy(), k[1] == k[2]
         new = np.ones(held.num_rows, bool)
         new[1:] = (k[:, 1:] != k[:, :-1]).any(axis=0)
@@ -436,14 +495,20 @@ def other_pairs(shared: DataFrame, stars: DataFrame, similarity: float) -> DataF
         first[1:] |= roots[1:] != roots[:-1]
         row = np.arange(held.num_rows)
         begins, groups = (np.maximum.accumulate(np.where(mark, row, 0)) for mark in (new, first))
-        pairs = np.empty(0, np.int64)
+        held_pairs, n_held = [np.empty(0, np.int64)], 0
         for i, j in cross_pairs(begins, groups):
-            both = size[i] + size[j]
-            least = np.ceil(similarity * both / (1 + similarity) - 1e-9)  # shingles that similar sets share
+            least = least_shared(size[i], size[j], similarity)
             # shared shingles lie at this place or behind it, unless an earlier one is shared: that has a bucket, too
             fits = (np.minimum(size[i] - at[i], size[j] - at[j]) >= least) & (np.minimum(size[i], size[j]) >= least) & (lone[i] | (block[i] != block[j]))
-            x, y = code[i[fits]], code[j[fits]]
-            pairs = np.union1d(pairs, np.minimum(x, y) * len(names) + np.maximum(x, y))
+            i, j = i[fits], j[fits]
+            x, y = code[i], code[j]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            x, y = (c[(apart <= APART) | (np.minimum(size[i], size[j]) < MANY)] for c in (x, y))
+            held_pairs.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
+            n_held += len(held_pairs[-1])
+            if n_held > 1 << 20:
+                held_pairs, n_held = [np.unique(np.concatenate(held_pairs))], 0
+        pairs = np.unique(np.concatenate(held_pairs))
         return pa.RecordBatch.from_arrays([names.take(pa.array(c)) for c in (pairs // max(1, len(names)), pairs % max(1, len(names)))], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,40 +527,111 @@ def other_pairs(shared: DataFrame, stars: DataFrame, similarity: float) -> DataF
         if held:
             yield found(pa.Table.from_batches(held))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "root").mapInArrow(work, "a binary, b binary").distinct()
+    return rows.distinct().repartition(*keys).sortWithinPartitions(*keys, "root").mapInArrow(work, "a binary, b binary").distinct()
+
 
+def keys_of_rows(id_name: str, text_name: str) -> list:
+    """Columns without nulls that name a row by its id and its text."""
+    zero = F.lit(0).cast("long")
+    return [F.coalesce(F.xxhash64(F.col(id_name).cast("string")), zero).alias("_i"), F.col(id_name).isNull().alias("_z"), F.xxhash64(F.coalesce(F.col(text_name), F.lit(""))).alias("_h")]
 
-def similar_texts(docs: DataFrame, *, similarity: float = 0.8, radius: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more; exact.
 
-    Texts with one set of shingles are one. Of two similar sets, the prefixes share a shingle. In the
-    bucket of each prefix shingle, whose rows stand in an order of its own, every set is compared with
-    all others by bit-sliced SimHash and linked with the nearest earlier one within the radius; links are
-    checked on the sets. Then every pair of a bucket that checked links have not joined is checked, too,
-    whatever its SimHash: nearness settles only which pairs come first and so need not be followed by
-    all others of a large group. Rows without id are neither candidates nor linked.
+KEYS = ["_i", "_z", "_h"]
+
+
+def with_both(pairs: DataFrame, facts: DataFrame, name: str, old: list[str], groups: int) -> DataFrame:
+    """``pairs`` (a, b) with a column of ``facts`` (fp, ...) for either side, however often a fingerprint stands there."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = pairs.select(F.col("a").alias("fp"), one.alias("na"), none.alias("nb")).union(pairs.select("b", none, one))
+    counts = ends.groupBy("fp").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    known, total = written(facts.select("fp", name).join(counts, "fp"), "facts", old), pairs.count()
+    for side in ("a", "b"):
+        pairs = looked_up(pairs, known.select(F.col("fp").alias(side), F.col(name).alias(f"{name}_{side}"), f"n{side}"), [side], f"n{side}", total, groups)
+    return pairs
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float, old: list[str]) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for the similarity; none that is similar goes."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 10_000):
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, CLASSES) for k in (2, 3))
+                a, b = (np.array([int.from_bytes(fp[-4:], "little") for fp in batch.column(k).to_pylist()], np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=schema).filter(pa.array(most_shared(x, y) >= least_shared(a, b, similarity)))
+
+    return with_both(pairs, sketches, "sketch", old, 10_000).select("a", "b", "sketch_a", "sketch_b").mapInArrow(work, "a binary, b binary")
+
+
+def similar_groups(docs: DataFrame, *, similarity: float = 0.8, radius: int = 36, id_col: str = "doc_id", text_col: str = "text", kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups) of ``similar_texts``: doc_id, fp and the row's KEYS; fp, n and best (lacks, id, KEYS).
+
+    ``best`` names the row of the group that comes first: by id, rows without id last, then by the text's hash.
+    ``kept`` gets the names of the folders that both are read from.
     """
-    bound_batches(docs.sparkSession)
+    spark, old = docs.sparkSession, []
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = written(prefixes(texts, 5, similarity), "fingerprints")
-    distinct = written(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("prefix").alias("prefix")), "distinct")
-    often = distinct.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(distinct.select("fp", F.posexplode("prefix").alias("at", "token")).join(often, "token"), "shared")
-    used = shared.select("fp").distinct().join(distinct, "fp").select(F.col("first").alias("doc_id")).distinct()
-    sets = written(shingle_sets(texts.join(used, "doc_id", "left_semi"), 5).dropDuplicates(["fp"]), "shingles")
+    texts = texts.select("doc_id", "text", *keys_of_rows("doc_id", "text"))
+    marked = written(prefixes(texts, 5, similarity), "fingerprints", kept)
+    distinct = written(marked.groupBy("fp", "id").agg(least_id("doc_id", *KEYS).alias("first"), F.count("*").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "distinct", old)
+    tokens = marked.where("prefix is not null").select("id", F.posexplode("prefix").alias("at", "token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("token", "n")
+    shared = written(tokens.join(often, "token").join(distinct.select("id", "fp"), "id").select("token", "n", "at", "fp"), "shared", old)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.toDF("a", "sx"), "a")
-        both = left.join(sets.toDF("b", "sy"), "b").withColumn("n", F.size(F.array_intersect("sx", "sy")))
-        return written(both.where(F.col("n") >= F.lit(similarity) * (F.size("sx") + F.size("sy") - F.col("n"))).select("a", "b"), "checked")
+        """The pairs that are similar. Only the texts that their sketches leave are read again, for their sets."""
+        if pairs.isEmpty():
+            return pairs
+        left = written(possible(pairs, distinct, similarity, old), "possible", old)
+        wanted = left.select(F.col("a").alias("fp")).union(left.select("b")).distinct().join(distinct, "fp")
+        used = written(wanted.select(*[F.col(f"first.{k}").alias(k) for k in KEYS]), "used", old)
+        sets = written(shingle_sets(texts.join(used, KEYS, "left_semi").select("doc_id", "text"), 5).dropDuplicates(["fp"]), "shingles", old)
+        both = with_both(left, sets, "sh", old, 100).withColumn("n", F.size(F.array_intersect("sh_a", "sh_b")))
+        return written(both.where(F.col("n") >= F.lit(similarity) * (F.size("sh_a") + F.size("sh_b") - F.col("n"))).select("a", "b"), "checked", old)
 
     sub = F.pmod(F.xxhash64("token", "fp"), F.ceil(F.col("n") / HOT)).alias("sub")
     buckets = shared.select(F.pmod("token", F.lit(64)).cast("int").alias("tab"), F.col("token").alias("key"), sub, "fp")
-    near = checked(written(links(buckets, ["tab", "key", "sub"], radius, slice(0, 32), nearest_earlier).distinct(), "links"))
-    rest = checked(written(other_pairs(shared, components(near), similarity), "others"))
-    stars = components(near.union(rest))
-    members = stars.union(stars.select("root", "root").distinct()).toDF("fp", "root").join(distinct, "fp")
-    names = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = members.join(names, "root").select("fp", "component_id")
-    named = distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    near = checked(written(links(buckets, ["tab", "key", "sub"], radius, slice(0, 32), first_earlier).distinct(), "links", old))
+    stars = components(near)
+    rest = checked(written(other_pairs(shared, stars, similarity), "others", old))
+    if not rest.isEmpty():
+        stars = components(near.union(rest))
+    groups = named(distinct.select("fp", "n", "first"), stars, kept)
+    remove(spark, *old)
+    return marked.select("doc_id", "fp", *KEYS), groups
+
+
+def similar_texts(docs: DataFrame, *, similarity: float = 0.8, radius: int = 36, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Texts with one set of shingles are one. Of two similar sets, the prefixes share a shingle. In the
+    bucket of each prefix shingle every set is compared with all others by bit-sliced SimHash and linked
+    with the first one within the radius; links are checked on the sets. Then the pairs of a bucket that
+    checked links have not joined are checked, too, if their sketches, and SimHash at a distance that similar
+    sets practically never have, leave it possible. The component is named by its smallest id, null if no row has one.
+    """
+    rows, groups = similar_groups(docs, similarity=similarity, radius=radius, id_col=id_col, text_col=text_col)
+    facts = groups.select("fp", "n", F.col("best.id").alias("component_id"))
+    return looked_up(rows.select("doc_id", "fp"), facts, ["fp"], "n", rows.count()).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, whole, of each group of ``similar_texts``: the first by id, rows without id last, then by the text's hash.
+
+    Rows are told apart by id and text, so different texts under one id, or without id, are rows of their
+    own; of rows that repeat both, one stays.
+    """
+    old: list[str] = []
+    rows, groups = similar_groups(docs, similarity=similarity, id_col=id_col, text_col=text_col, kept=old)
+    first = groups.select(*[F.col(f"best.{k}").alias(k) for k in KEYS]).distinct()
+    several = rows.groupBy(*KEYS).agg(F.count("*").alias("several")).where("several > 1")
+    kept = written(first.join(several, KEYS, "left").select(*KEYS, F.coalesce("several", F.lit(1).cast("long")).alias("n"), (F.col("several") > 1).alias("_more")), "kept")
+    # the row travels as one struct, so its columns may have any names
+    own = docs.select(F.struct("*").alias("row"), *keys_of_rows(id_col, text_col))
+    found = looked_up(own, kept, KEYS, "n", rows.count())
+    remove(docs.sparkSession, *old)
+    if kept.where("n > 1").isEmpty():
+        return found.select("row.*")
+    once = found.where("_more").dropDuplicates(KEYS)
+    return found.where("_more is null").union(once).select("row.*")

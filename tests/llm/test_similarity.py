@@ -227,12 +227,12 @@ def test_stages_on_odd_rows(spark):
             assert name == "bpe" or left.columns == docs.columns
             left.count()
     once = corpus_pipeline.keep_one_of_each_group(spark, odd, SMALL).collect()
-    assert [r.doc_id for r in once].count(4) == 1 and [r.doc_id for r in once].count(None) == 2
+    assert sorted(r.doc_id for r in once) == [1, 3, 4]
     assert F.lit(1) is not None
 
 
 @pytest.mark.parametrize("radius", [0, 3, 20])
-def test_nearest_earlier_equals_brute_force(radius, monkeypatch):
+def test_first_earlier_equals_brute_force(radius, monkeypatch):
     monkeypatch.setattr(simhash, "ACROSS", 128)
     draw = random.Random(radius)
     seeds = [draw.getrandbits(128) for _ in range(12)]
@@ -240,9 +240,7 @@ def test_nearest_earlier_equals_brute_force(radius, monkeypatch):
     sizes = [1, 3, 64, 132, 200]
     ends = np.repeat(np.cumsum(sizes), sizes)
     raw = np.frombuffer(b"".join(p.to_bytes(16, "little") for p in prints), np.uint8).reshape(-1, 16)
-    got = simhash.nearest_earlier(np.unpackbits(raw, axis=1, bitorder="little"), ends, radius)
+    got = simhash.first_earlier(np.unpackbits(raw, axis=1, bitorder="little"), ends, radius)
     for j in range(len(prints)):
         begin = max((e for e in np.cumsum(sizes) if e <= j), default=0)
-        near = [((prints[i] ^ prints[j]).bit_count(), i) for i in range(begin, j)]
-        best = min((x for x in near if x[0] <= radius), default=(0, j))
-        assert got[j] == best[1]
+        assert got[j] == next((i for i in range(begin, j) if (prints[i] ^ prints[j]).bit_count() <= radius), j)
