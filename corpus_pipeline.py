@@ -13,68 +13,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import bpe, decontam, langid, secrets, simhash
-from folioforge.llm.common import run_dir, table, written
+from folioforge.llm.common import slices, table, written
 from folioforge.llm.queries import vocabulary
 
 
-def fresh(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    while name.lower() in map(str.lower, docs.columns):
-        name += "_"
-    return name
-
-
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents too far from every centroid, and those without letters, go."""
+    """Language ID: documents too far from every centroid, and those without letters, go.
+
+    Null and empty texts go, as they have no letters; ids, repeats and further columns play no part.
+    """
     return langid.accepted(docs, langid.fit(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group of similar texts the document with the smallest id stays.
+    """SimHash near-dedup: of each group of similar texts one row stays, the first by id.
 
-    Rows without id stay; of rows that repeat an id, one stays.
+    Rows without id come last, equal ids are told apart by a hash of the text, and of rows that repeat
+    both one stays; so no text goes because another one has its id. Null and empty texts are one group.
     """
-    groups = simhash.similar_texts(docs).select("doc_id", "component_id")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not twice.isEmpty():
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    return simhash.one_of_each(docs)
 
 
 def drop_leaked_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item within its error budget go."""
-    leaked = decontam.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Benchmark decontamination: rows whose text holds a benchmark item within its error budget go.
+
+    Each row is judged by its own text, whatever its id; null and empty texts stay.
+    """
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scan: every finding is replaced by the name of its kind; all documents stay."""
-    found = secrets.scan(docs, run_dir(spark, "ledger"))
-    named = found.where(F.size("spans") > 0).select(F.col("digest").alias(fresh(docs, "digest")), F.col("spans").alias(fresh(docs, "spans"))).dropDuplicates([fresh(docs, "digest")])
+    """Secret scan: every finding is replaced by the name of its kind, and n_chars, if any, counted again; all rows stay.
+
+    Findings belong to texts, not ids; null texts stay null. Only texts that the application's ledger
+    lacks are scanned.
+    """
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    joined = docs.withColumn(fresh(docs, "digest"), digest).join(named, fresh(docs, "digest"), "left").select(*docs.columns, fresh(docs, "spans"))
-    at, length = docs.columns.index("text"), docs.columns.index("n_chars")
+    found = secrets.scan(docs.select("text"), secrets.session_ledger(spark), id_cols=())
+    named = found.where(F.size("spans") > 0).groupBy("digest").agg(F.first("spans").alias("spans"))
+    rows = docs.select(F.struct("*").alias("row"), digest.alias("digest"))
+    joined = rows.join(named, "digest", "left").select("row", "spans")
+    names, at = docs.columns, docs.columns.index("text")
+    counted = names.index("n_chars") if "n_chars" in names else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns)
-            marks, texts = columns.pop().to_pylist(), columns[at].to_pylist()
-            lengths = columns[length].to_pylist()
-            for k, mark in enumerate(marks):
-                if mark:
+        for batch in slices(batches):
+            columns, marks = batch.column(0).flatten(), batch.column(1).to_pylist()
+            changed = {k: mark for k, mark in enumerate(marks) if mark}
+            if changed:
+                texts = columns[at].to_pylist()
+                for k, mark in changed.items():
                     texts[k] = secrets.redacted(texts[k], [(s["kind"], s["start"], s["end"]) for s in mark])
-                    lengths[k] = len(texts[k])
-            columns[at], columns[length] = pa.array(texts, columns[at].type), pa.array(lengths, columns[length].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+                columns[at] = pa.array(texts, columns[at].type)
+                if counted is not None:
+                    lengths = columns[counted].to_pylist()
+                    for k in changed:
+                        lengths[k] = len(texts[k])
+                    columns[counted] = pa.array(lengths, columns[counted].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    docs_columns = docs.columns
     return joined.mapInArrow(work, docs.schema)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: doc_id, token_ids, n_tokens and whether the decoded bytes hash like the text."""
+    """Byte-level BPE: doc_id, token_ids, n_tokens and whether the decoded bytes hash like the text.
+
+    Null texts are empty; rows without id and repeated rows have a row each; further columns are left out.
+    """
     import public_tokenizers
 
     ranks, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -91,7 +96,7 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-#: SQL cannot express the stages; tests hold ``run`` against brute force.
+#: SQL cannot express the stages; ``tests/llm/test_pipeline.py`` holds each, and ``run``, against brute force.
 ORACLE_SQL = None
 
 
