@@ -1,6 +1,7 @@
 """Candidates, grounding, triage and evaluation on small documents."""
 
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from folioforge import schemas
 from folioforge.functions.fields import DOCUMENT_PATHS, ITEM_PATHS, TOTAL_PATHS
-from folioforge.operators import alignment, evaluation, grounding, quality, routing, summaries
+from folioforge.functions.similarity import token_set_ratio
+from folioforge.operators import alignment, evaluation, grounding, matching, quality, routing, summaries
 from folioforge.operators.candidates import NO_TEXT, extract_candidates
 from folioforge.sources.files import bank_rows
 
@@ -225,3 +227,21 @@ def test_summaries(spark):
     h = rows.where("record_type = 'validated_extraction'").select(summaries.field_histograms(F.col("extraction")).alias("h")).first().h
     assert h.field_status_counts == {"found": 2, "unknown": 13} and h.line_item_count == 1
     assert tuple(summaries.outcome_counts(spark.createDataFrame([("review",), ("review",)], "outcome string")).first()) == (2, 0, 2, 0)
+
+
+@pytest.mark.parametrize("least", [50, 75])
+def test_names_alike_equals_all_pairs(least):
+    draw = random.Random(6)
+    words = ["NORDIC", "STEEL", "STEAL", "A", "S", "GMBH", "KOBENHAVN", "KOBENHAVNS", "LOGISTIK", "EL", "VVS", "X" * 300]
+    names = sorted({" ".join(draw.choices(words, k=draw.randint(1, 4))) for _ in range(160)} | {"", "NORDIC NORDIC", "Z"})
+    left, right = names[::2], names[1::2] + names[:10]
+    got = sorted(matching.alike(matching.Names(left), matching.Names(right), least))
+    assert got == sorted((a, b, r) for a in left for b in right if (r := token_set_ratio(a, b)) >= least) and got
+    assert matching.alike(matching.Names([]), matching.Names(right), least) == []
+
+
+def test_unsupported_records_fail_the_evaluation(spark):
+    golden = spark.createDataFrame([("a.pdf", "{}")], "document_name string, expected string")
+    draft = records(spark, {"record_type": "draft", "document_name": "a.pdf"})
+    with pytest.raises(Exception, match="unsupported record type: draft"):
+        evaluation.field_results(golden, draft).collect()

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from folioforge.plans import registry
+from folioforge.plans import records, registry  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
+    for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return con
 

@@ -1,6 +1,8 @@
 """Readers, writers, providers, commands and streaming."""
 
+import http.server
 import json
+import threading
 
 import pytest
 
@@ -106,3 +108,55 @@ def test_streamed_records_are_routed_once(spark, tmp_path):
         ingest.route_stream(spark, str(folder), payments, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.document_name, r.outcome) for r in rows) == [("a.pdf", "auto_accept"), ("e.pdf", "reject")]
+
+
+class Service(http.server.BaseHTTPRequestHandler):
+    asked: list[dict] = []
+
+    def do_POST(self):
+        Service.asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))) | {"key": self.headers["Authorization"]})
+        answer = {"output": [{"type": "reasoning"}, {"content": [{"text": json.dumps({"invoice_id": {"raw_value": "INV-1", "status": "found"}})}]}], "usage": {"input_tokens": 3}}
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(answer).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_model_service(monkeypatch):
+    monkeypatch.setenv("FOLIOFORGE_API_KEY", "k")
+    with http.server.HTTPServer(("127.0.0.1", 0), Service) as server:
+        thread = threading.Thread(target=server.serve_forever)
+        thread.start()
+        found, usage = providers.HttpModel(f"http://127.0.0.1:{server.server_port}/", "m", "low").extract("a.pdf", b"%PDF")
+        server.shutdown()
+        thread.join()
+    assert found["invoice_id"]["raw_value"] == "INV-1" and usage == {"input_tokens": 3}
+    providers.check_extraction(found)
+    (asked,) = Service.asked
+    assert asked["key"] == "Bearer k" and asked["input"][0]["content"][0]["file_data"] == "data:application/pdf;base64,JVBERg=="
+    schema = asked["text"]["format"]["schema"]
+    assert set(schema["properties"]) >= {"invoice_id", "totals", "line_items"} and schema["properties"]["invoice_id"]["properties"]["status"]["enum"] == ["found", "unknown", "invalid"]
+
+
+@pytest.mark.parametrize(("answer", "problem"), [({"invoice_id": "x"}, "invoice_id is not a field"), ({"totals": []}, "totals is not an object"), ({"totals": {"discount": {"status": "maybe"}}}, "totals.discount.status"), ({"line_items": {}}, "line_items is not a list"), ({"line_items": [{"name": {"raw_value": 5}}]}, r"line_items\[0\].name.raw_value"), ({"warnings": [1]}, "a warning")])
+def test_answers_are_checked(answer, problem):
+    with pytest.raises(ValueError, match=problem):
+        providers.check_extraction(answer)
+
+
+def test_golden_problems_name_the_line(spark, tmp_path):
+    path = tmp_path / "g.jsonl"
+    path.write_text('\n{"document_name":"a","expected":{}}\n\n{"document_name":"","expected":{}}\n')
+    with pytest.raises(ValueError, match="line 4"):
+        files.read_golden(spark, str(path))
+
+
+def test_evaluation_from_pdf_files(spark, pdfs, capsys):
+    (pdfs / "g.jsonl").write_text(json.dumps({"document_name": "a.pdf", "expected": {"invoice_id": "INV-1001"}}))
+    run = ["evaluate", "--golden", str(pdfs / "g.jsonl"), "--out", str(pdfs / "r"), "--texts", str(pdfs / "texts.jsonl"), "--no-ocr"]
+    assert cli.main([*run, "--pdf-dir", str(pdfs / "pdfs"), "--model-replay", str(pdfs / "model.jsonl")]) == 0
+    assert "1/1 correct fields" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(run)
