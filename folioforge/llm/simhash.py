@@ -410,7 +410,8 @@ def least_shared(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
 
 def prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """Every row (doc_id, text, ...) without its text but with fp (``set_print`` of the distinct shingles), id (a number
-    from it), and prefix and sketch, which are null where an earlier row of the input partition had the same fp."""
+    from it), and prefix, sketch and small, which are null where an earlier row of the input partition had the same fp;
+    small holds the hashes of sets of fewer than ``MANY``, in order."""
     shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, size))
     kept = [f for f in rows.schema if f.name != "text"]
     ordered = rows.select("text", *[f.name for f in kept])
@@ -419,7 +420,7 @@ def prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
         (common, often), seen = shared.value, set()
         for batch in slices(batches):
             text, *others = batch.columns
-            fps, parts, sketches = [], [], []
+            fps, parts, sketches, small = [], [], [], []
             for t in text.to_pylist():
                 hashes = np.unique(shingle_hashes(t, size))
                 fps.append(set_print(hashes))
@@ -427,10 +428,11 @@ def prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
                 seen.add(fps[-1])
                 parts.append(prefix_of(hashes, similarity, common, often).view(np.int64) if new else None)
                 sketches.append(sketch_of(hashes) if new else None)
+                small.append(hashes.tobytes() if new and len(hashes) < MANY else None)
             ids = np.frombuffer(b"".join(fp[32:40] for fp in fps), "<i8")
-            yield pa.RecordBatch.from_arrays([*others, pa.array(fps, pa.binary()), pa.array(ids), pa.array(parts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[*batch.schema.names[1:], "fp", "id", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([*others, pa.array(fps, pa.binary()), pa.array(ids), pa.array(parts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(small, pa.binary())], names=[*batch.schema.names[1:], "fp", "id", "prefix", "sketch", "small"])
 
-    return ordered.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", fp binary, id long, prefix array<long>, sketch binary")
+    return ordered.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", fp binary, id long, prefix array<long>, sketch binary, small binary")
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -462,25 +464,32 @@ def cross_pairs(begins: np.ndarray, groups: np.ndarray, most: int = 1 << 18) ->
         row = end
 
 
-def other_pairs(shared: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of hashes, each in order, are similar."""
+    n = len(np.intersect1d(a, b, assume_unique=True))
+    return n >= similarity * (len(a) + len(b) - n)
+
+
+def other_pairs(shared: DataFrame, stars: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of all fingerprints that share a prefix shingle, are not joined by ``stars`` (node, root) and may be similar.
 
     The tests on sizes and places are necessary conditions of the similarity, and that on SimHash fails for
-    a similar pair about once in 10**12. Rows of a hot shingle are split into blocks and each pair of blocks
-    is a bucket of its own.
+    a similar pair about once in 10**12. Small sets (column ``small`` of ``sets``) travel with their rows and
+    are compared on the spot, so that short texts with a passage in common make no pairs. Rows of a hot
+    shingle are split into blocks and each pair of blocks is a bucket of its own.
     """
     keys = ["token", "lo", "hi"]
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    known = shared.join(stars.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = written(known, "labelled")
+    known = shared.distinct().join(stars.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = written(known.join(sets.where("small is not null").select("fp", "small"), "fp", "left"), "labelled")
     zero = F.lit(0).cast("long")
-    rows = known.where(F.col("n") <= HOT).select("token", zero.alias("lo"), zero.alias("hi"), zero.alias("block"), "fp", "at", "root")
+    rows = known.where(F.col("n") <= HOT).select("token", zero.alias("lo"), zero.alias("hi"), zero.alias("block"), "fp", "at", "root", "small")
     hot = known.where(F.col("n") > HOT)
     mixed = written(hot.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token"), "mixed")
     if not mixed.isEmpty():
         blocks = F.ceil(F.col("n") / HOT)
         tiles = hot.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
-        rows = rows.union(tiles.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "at", "root"))
+        rows = rows.union(tiles.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "at", "root", "small"))
 
     def found(held: pa.Table) -> pa.RecordBatch:
         k = np.stack([held.column(c).to_numpy() for c in keys])
@@ -488,6 +497,13 @@ def other_pairs(shared: DataFrame, stars: DataFrame, similarity: float) -> DataF
         names, code, roots = fp.dictionary, fp.indices.to_numpy().astype(np.int64), root.indices.to_numpy()
         raw = np.frombuffer(b"".join(names.to_pylist()), np.uint8).reshape(len(names), -1)
         bits, size = np.ascontiguousarray(raw[:, :32]).view("<u8"), np.ascontiguousarray(raw[:, 40:44]).view("<u4").reshape(-1).astype(np.int64)[code]
+        where = np.zeros(len(names), np.int64)
+        where[code] = np.arange(held.num_rows)
+        small = [None if b is None else np.frombuffer(b, "<u8") for b in held.column("small").take(pa.array(where)).to_pylist()]
+        is_small = np.array([h is not None for h in small], bool)
+        counts = np.zeros((len(names), CLASSES), np.uint8)
+        for c in np.flatnonzero(is_small):
+            counts[c] = np.bincount((small[c] % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
         at, block, lone = held.column("at").to_numpy(), held.column("block").to_numpy(), k[1] == k[2]
         new = np.ones(held.num_rows, bool)
         new[1:] = (k[:, 1:] != k[:, :-1]).any(axis=0)
@@ -503,12 +519,17 @@ def other_pairs(shared: DataFrame, stars: DataFrame, similarity: float) -> DataF
             i, j = i[fits], j[fits]
             x, y = code[i], code[j]
             apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-            x, y = (c[(apart <= APART) | (np.minimum(size[i], size[j]) < MANY)] for c in (x, y))
+            both, fewest = is_small[x] & is_small[y], least_shared(size[i], size[j], similarity)
+            possible = np.where(both, np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64) >= fewest, (apart <= APART) | (np.minimum(size[i], size[j]) < MANY))
+            x, y = x[possible], y[possible]
             held_pairs.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
             n_held += len(held_pairs[-1])
             if n_held > 1 << 20:
                 held_pairs, n_held = [np.unique(np.concatenate(held_pairs))], 0
         pairs = np.unique(np.concatenate(held_pairs))
+        x, y = pairs // max(1, len(names)), pairs % max(1, len(names))
+        alike = [not (is_small[p] and is_small[q]) or similar(small[p], small[q], similarity) for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+        pairs = pairs[np.array(alike, bool)]
         return pa.RecordBatch.from_arrays([names.take(pa.array(c)) for c in (pairs // max(1, len(names)), pairs % max(1, len(names)))], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,7 +548,7 @@ def other_pairs(shared: DataFrame, stars: DataFrame, similarity: float) -> DataF
         if held:
             yield found(pa.Table.from_batches(held))
 
-    return rows.distinct().repartition(*keys).sortWithinPartitions(*keys, "root").mapInArrow(work, "a binary, b binary").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "root").mapInArrow(work, "a binary, b binary").distinct()
 
 
 def keys_of_rows(id_name: str, text_name: str) -> list:
@@ -574,7 +595,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, radius: int = 36
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("doc_id", "text", *keys_of_rows("doc_id", "text"))
     marked = written(prefixes(texts, 5, similarity), "fingerprints", kept)
-    distinct = written(marked.groupBy("fp", "id").agg(least_id("doc_id", *KEYS).alias("first"), F.count("*").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "distinct", old)
+    distinct = written(marked.groupBy("fp", "id").agg(least_id("doc_id", *KEYS).alias("first"), F.count("*").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("small", ignorenulls=True).alias("small")), "distinct", old)
     tokens = marked.where("prefix is not null").select("id", F.posexplode("prefix").alias("at", "token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("token", "n")
     shared = written(tokens.join(often, "token").join(distinct.select("id", "fp"), "id").select("token", "n", "at", "fp"), "shared", old)
@@ -594,7 +615,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, radius: int = 36
     buckets = shared.select(F.pmod("token", F.lit(64)).cast("int").alias("tab"), F.col("token").alias("key"), sub, "fp")
     near = checked(written(links(buckets, ["tab", "key", "sub"], radius, slice(0, 32), first_earlier).distinct(), "links", old))
     stars = components(near)
-    rest = checked(written(other_pairs(shared, stars, similarity), "others", old))
+    rest = checked(written(other_pairs(shared, stars, distinct, similarity), "others", old))
     if not rest.isEmpty():
         stars = components(near.union(rest))
     groups = named(distinct.select("fp", "n", "first"), stars, kept)

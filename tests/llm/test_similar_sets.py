@@ -83,3 +83,13 @@ def test_hot_buckets_lose_no_pair(spark, monkeypatch):
     want = exact_groups(texts)
     assert 2 < len(set(want)) < 90
     assert groups(spark, texts) == want
+
+
+def test_short_texts_with_a_passage_in_common(spark):
+    passage, texts = WORDS[500:540], []
+    for _ in range(120):
+        texts.append(" ".join(DRAW.choices(WORDS, k=DRAW.randint(0, 14)) + passage + DRAW.choices(WORDS, k=DRAW.randint(0, 14))))
+    texts += [" ".join(passage), "one", "one", "two words", "a b c d e", "a b c d e f"]
+    want = exact_groups(texts)
+    assert 3 < len(set(want)) < 120
+    assert groups(spark, texts) == want
