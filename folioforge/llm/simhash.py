@@ -470,6 +470,14 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return n >= similarity * (len(a) + len(b) - n)
 
 
+def top(above: list[int], k: int) -> int:
+    """The top of k's tree; paths are halved on the way."""
+    while above[k] != k:
+        above[k] = above[above[k]]
+        k = above[k]
+    return k
+
+
 def other_pairs(shared: DataFrame, stars: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of all fingerprints that share a prefix shingle, are not joined by ``stars`` (node, root) and may be similar.
 
@@ -528,8 +536,20 @@ def other_pairs(shared: DataFrame, stars: DataFrame, sets: DataFrame, similarity
                 held_pairs, n_held = [np.unique(np.concatenate(held_pairs))], 0
         pairs = np.unique(np.concatenate(held_pairs))
         x, y = pairs // max(1, len(names)), pairs % max(1, len(names))
-        alike = [not (is_small[p] and is_small[q]) or similar(small[p], small[q], similarity) for p, q in zip(x.tolist(), y.tolist(), strict=True)]
-        pairs = pairs[np.array(alike, bool)]
+        x, y = x.tolist(), y.tolist()
+        # links between sets that are joined already, by ``root`` or by links found here, add nothing: a bucket gives a forest of them
+        above = list(range(len(root.dictionary)))
+        own = np.zeros(len(names), np.int64)
+        own[code] = roots
+        own, links_found = own.tolist(), []
+        for n, (p, q) in enumerate(zip(x, y, strict=True)):
+            if is_small[p] and is_small[q]:
+                a, b = top(above, own[p]), top(above, own[q])
+                if a != b and similar(small[p], small[q], similarity):
+                    above[a] = b
+                    links_found.append(n)
+        open_ = [n for n, (p, q) in enumerate(zip(x, y, strict=True)) if not (is_small[p] and is_small[q]) and top(above, own[p]) != top(above, own[q])]
+        pairs = pairs[np.array(sorted(links_found + open_), np.int64)]
         return pa.RecordBatch.from_arrays([names.take(pa.array(c)) for c in (pairs // max(1, len(names)), pairs % max(1, len(names)))], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
