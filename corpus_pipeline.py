@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import bpe, decontam, langid, secrets, simhash
-from folioforge.llm.common import slices, table, written
+from folioforge.llm.common import lean, slices, table, written
 from folioforge.llm.queries import vocabulary
 
 
@@ -72,7 +72,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                     columns[counted] = pa.array(lengths, columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(work, docs.schema)
+    return joined.mapInArrow(lean(work), docs.schema)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import slices
+from folioforge.llm.common import lean, slices
 
 #: Characters from which a text is cut before encoding, and the least length of a piece.
 LONG = 1 << 16
@@ -105,9 +105,10 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=[id_col, "token_ids"])
+        encoder.cache_clear()  # a worker that waits need not hold the ranks
 
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(work, f"`{id_col}` {kind}, token_ids array<int>")
+    return rows.mapInArrow(lean(work), f"`{id_col}` {kind}, token_ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -115,12 +116,14 @@ def decode_documents(encoded: DataFrame, rank_path: str, pattern: str) -> DataFr
     rows = encoded.drop("decoded")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(rank_path, pattern).decode_bytes
+        coder = encoder(rank_path, pattern)
         for batch in slices(batches):
             ids = batch.column(batch.schema.get_field_index("token_ids")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([decode(x or []) for x in ids], pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([coder.decode_bytes(x or []) for x in ids], pa.binary())], names=[*batch.schema.names, "decoded"])
+        del coder
+        encoder.cache_clear()
 
-    return rows.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded binary")
+    return rows.mapInArrow(lean(work), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded binary")
 
 
 def id_digest(ids: Column) -> Column:

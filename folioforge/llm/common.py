@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(begin, rows)
 
 
+def give_back() -> None:
+    """Return freed memory of Arrow's pool and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` of a Python worker that holds little once it has ended.
+
+    Spark keeps workers for later tasks, and each would keep the most memory that it ever took.
+    """
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def store_of(spark: SparkSession, path: str):
     """(Hadoop file system, Hadoop path) of a path; one without scheme lies in the cluster's default store."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import slices, written
+from folioforge.llm.common import lean, slices, written
 
 #: Characters of items in one automaton, about, and items whose bit masks a worker keeps.
 BLOCK_CHARS, MASKS = 4_000_000, 2000
@@ -210,8 +210,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, least:
 
     rows = rows.withColumn("hits", F.lit(None).cast(hit))
     for shared in blocks[:-1]:
-        rows = rows.mapInArrow(step(shared), f"doc_id long, text string, hits {hit}")
-    return rows.mapInArrow(last, "doc_id long, item_id long, distance int, end int")
+        rows = rows.mapInArrow(lean(step(shared)), f"doc_id long, text string, hits {hit}")
+    return rows.mapInArrow(lean(last), "doc_id long, item_id long, distance int, end int")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, least: int = 40, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -228,5 +228,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, least: i
         return work
 
     for items in blocks_of(benchmark, rate=rate, least=least, id_col=item_id, text_col=item_text):
-        docs = docs.mapInArrow(step(docs.sparkSession.sparkContext.broadcast(items)), schema)
+        docs = docs.mapInArrow(lean(step(docs.sparkSession.sparkContext.broadcast(items))), schema)
     return docs

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import slices
+from folioforge.llm.common import lean, slices
 
 DIMENSIONS, ORDERS, PIECE = 4096, 3, 1 << 20
 UNKNOWN = "und"
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(work, f"{schema}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(work), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -195,4 +195,4 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
         for batch in slices(batches):
             yield batch.filter(pa.array([not predict(text)[2] for text in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import session_dir, slices, store_of, tidy
+from folioforge.llm.common import lean, session_dir, slices, store_of, tidy
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ def _blobs(versions: DataFrame) -> DataFrame:
                     kept.append((digest, pack(text.encode("utf-8", "surrogatepass"))))
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in kept], pa.binary()), pa.array([b for _, b in kept], pa.binary())], names=["digest", "blob"])
 
-    return versions.select("digest", "text").mapInArrow(work, "digest binary, blob binary")
+    return versions.select("digest", "text").mapInArrow(lean(work), "digest binary, blob binary")
 
 
 def _scanned(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -124,7 +124,7 @@ def _scanned(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                     spans.append([{"kind": k, "start": s, "end": e} for k, s, e in find(unpack(blob).decode("utf-8", "surrogatepass"), ready)])
             yield pa.RecordBatch.from_arrays([pa.array(digests, schema.types[0]), pa.array(spans, schema.types[1])], schema=schema)
 
-    return blobs.mapInArrow(work, f"digest binary, spans {SPANS}")
+    return blobs.mapInArrow(lean(work), f"digest binary, spans {SPANS}")
 
 
 def _exists(spark, path: str) -> bool:

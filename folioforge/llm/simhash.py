@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import looked_up, remove, run_dir, slices, tidy, written
+from folioforge.llm.common import lean, looked_up, remove, run_dir, slices, tidy, written
 
 #: Fingerprints of a bucket from which it is dealt again; rows compared at once, with so many others.
 HOT, TILE, ACROSS = 20_000, 64, 4096
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, prints: list[tuple[int, int]], *, id_col: str
             fps = [b"".join(fingerprint(shingle_hashes(text, size), words) for size, words in prints) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema[0].dataType.simpleString()}, fp binary")
+    return rows.mapInArrow(lean(work), f"doc_id {rows.schema[0].dataType.simpleString()}, fp binary")
 
 
 def exact_tables(places: list[int], radius: int) -> list[list[int]]:
@@ -127,8 +127,8 @@ def dealt(fps: DataFrame, tables: list[list[int]], again: list[list[list[int]]]
                         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(mine), s, np.int32)), pa.array(keys_of(bits[mine], places)), rows.column(2)], names=["tab", "key", "sub", "subkey", "fp"])
 
     if again is None:
-        return fps.select("fp").mapInArrow(first, "tab int, key long, fp binary")
-    return fps.select("tab", "key", "fp").mapInArrow(second, "tab int, key long, sub int, subkey long, fp binary")
+        return fps.select("fp").mapInArrow(lean(first), "tab int, key long, fp binary")
+    return fps.select("tab", "key", "fp").mapInArrow(lean(second), "tab int, key long, sub int, subkey long, fp binary")
 
 
 def low_bits(n: np.ndarray, words: int) -> np.ndarray:
@@ -261,7 +261,7 @@ def links(buckets: DataFrame, keys: list[str], radius: int, decide: slice, joine
         if held:
             yield linked(pa.Table.from_batches(held))
 
-    return parted.mapInArrow(work, "a binary, b binary")
+    return parted.mapInArrow(lean(work), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
                     held, n = [], 0
         yield often(held)
 
-    counts = rows.mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(work), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     found = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(found)
@@ -432,7 +432,7 @@ def prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
             ids = np.frombuffer(b"".join(fp[32:40] for fp in fps), "<i8")
             yield pa.RecordBatch.from_arrays([*others, pa.array(fps, pa.binary()), pa.array(ids), pa.array(parts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(small, pa.binary())], names=[*batch.schema.names[1:], "fp", "id", "prefix", "sketch", "small"])
 
-    return ordered.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", fp binary, id long, prefix array<long>, sketch binary, small binary")
+    return ordered.mapInArrow(lean(work), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", fp binary, id long, prefix array<long>, sketch binary, small binary")
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -443,7 +443,7 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(text, size)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_print(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "sh"])
 
-    return rows.mapInArrow(work, "fp binary, sh array<long>")
+    return rows.mapInArrow(lean(work), "fp binary, sh array<long>")
 
 
 def cross_pairs(begins: np.ndarray, groups: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -568,7 +568,7 @@ def other_pairs(shared: DataFrame, stars: DataFrame, sets: DataFrame, similarity
         if held:
             yield found(pa.Table.from_batches(held))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "root").mapInArrow(work, "a binary, b binary").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "root").mapInArrow(lean(work), "a binary, b binary").distinct()
 
 
 def keys_of_rows(id_name: str, text_name: str) -> list:
@@ -602,7 +602,7 @@ def possible(pairs: DataFrame, sketches: DataFrame, similarity: float, old: list
                 a, b = (np.array([int.from_bytes(fp[-4:], "little") for fp in batch.column(k).to_pylist()], np.int64) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=schema).filter(pa.array(most_shared(x, y) >= least_shared(a, b, similarity)))
 
-    return with_both(pairs, sketches, "sketch", old, 10_000).select("a", "b", "sketch_a", "sketch_b").mapInArrow(work, "a binary, b binary")
+    return with_both(pairs, sketches, "sketch", old, 10_000).select("a", "b", "sketch_a", "sketch_b").mapInArrow(lean(work), "a binary, b binary")
 
 
 def similar_groups(docs: DataFrame, *, similarity: float = 0.8, radius: int = 36, id_col: str = "doc_id", text_col: str = "text", kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
