@@ -40,6 +40,8 @@ COMMON, AT_ONCE, CLASSES = 100_000, 4_000_000, 128
 #: Bits of 256 by which similar sets of ``MANY`` shingles or more may differ. Of sets at 0.8, 39 bits are expected to
 #: differ with a deviation of 6, so that this is seven deviations away: about one such pair in 10**12 is passed over.
 APART, MANY = 80, 64
+#: Sets of a tree of open pairs, and hashes of all its sets, from which it is dealt into blocks.
+TREE_ROWS, TREE_HASHES = 1024, 2_000_000
 #: Odd multipliers that make further hashes of a shingle from its first.
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -478,16 +480,40 @@ def top(above: list[int], k: int) -> int:
     return k
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys`` as tables of whole buckets, of ``least`` rows or more but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            whole = pa.Table.from_batches(held)
+            k = np.stack([whole.column(c).to_numpy() for c in keys])
+            apart = np.flatnonzero((k != k[:, -1:]).any(axis=0))
+            if len(apart):  # the last bucket may go on: it waits for the next batch
+                yield whole.slice(0, int(apart[-1]) + 1)
+                held = whole.slice(int(apart[-1]) + 1).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: A bucket, or a pair of blocks of a bucket that is too large for a task.
+TILE_KEYS = ["token", "lo", "hi"]
+
+
 def other_pairs(shared: DataFrame, stars: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all fingerprints that share a prefix shingle, are not joined by ``stars`` (node, root) and may be similar.
+    """(a, b, sure): forests of the pairs of fingerprints that share a prefix shingle, are not joined by ``stars``
+    (node, root) and are similar (sure) or may be (not sure).
 
     The tests on sizes and places are necessary conditions of the similarity, and that on SimHash fails for
     a similar pair about once in 10**12. Small sets (column ``small`` of ``sets``) travel with their rows and
-    are compared on the spot, so that short texts with a passage in common make no pairs. Rows of a hot
+    are compared on the spot. All other pairs are open: both ends of each lie in one tree of the open forest,
+    where ``tree_links`` compares the sets. So a bucket sends on fewer rows than it has twice. Rows of a hot
     shingle are split into blocks and each pair of blocks is a bucket of its own.
     """
-    keys = ["token", "lo", "hi"]
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    keys = TILE_KEYS
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sure", pa.bool_())])
     known = shared.distinct().join(stars.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = written(known.join(sets.where("small is not null").select("fp", "small"), "fp", "left"), "labelled")
     zero = F.lit(0).cast("long")
@@ -519,6 +545,27 @@ def other_pairs(shared: DataFrame, stars: DataFrame, sets: DataFrame, similarity
         first[1:] |= roots[1:] != roots[:-1]
         row = np.arange(held.num_rows)
         begins, groups = (np.maximum.accumulate(np.where(mark, row, 0)) for mark in (new, first))
+        # pairs of sets that are joined already, by ``root`` or by links found here, add nothing; nor do open pairs of one tree
+        above, tree = list(range(len(root.dictionary))), list(range(len(names)))
+        own = np.zeros(len(names), np.int64)
+        own[code] = roots
+        own, links_found, open_ = own.tolist(), [], []
+
+        def settle(held_pairs: list[np.ndarray]) -> None:
+            pairs = np.unique(np.concatenate(held_pairs))
+            x, y = pairs // max(1, len(names)), pairs % max(1, len(names))
+            both = is_small[x] & is_small[y]
+            for p, q in zip(x[both].tolist(), y[both].tolist(), strict=True):
+                a, b = top(above, own[p]), top(above, own[q])
+                if a != b and similar(small[p], small[q], similarity):
+                    above[a] = b
+                    links_found.append((p, q))
+            for p, q in zip(x[~both].tolist(), y[~both].tolist(), strict=True):
+                a, b = top(tree, p), top(tree, q)
+                if a != b and top(above, own[p]) != top(above, own[q]):
+                    tree[a] = b
+                    open_.append((p, q))
+
         held_pairs, n_held = [np.empty(0, np.int64)], 0
         for i, j in cross_pairs(begins, groups):
             least = least_shared(size[i], size[j], similarity)
@@ -533,42 +580,76 @@ def other_pairs(shared: DataFrame, stars: DataFrame, sets: DataFrame, similarity
             held_pairs.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
             n_held += len(held_pairs[-1])
             if n_held > 1 << 20:
-                held_pairs, n_held = [np.unique(np.concatenate(held_pairs))], 0
-        pairs = np.unique(np.concatenate(held_pairs))
-        x, y = pairs // max(1, len(names)), pairs % max(1, len(names))
-        x, y = x.tolist(), y.tolist()
-        # links between sets that are joined already, by ``root`` or by links found here, add nothing: a bucket gives a forest of them
-        above = list(range(len(root.dictionary)))
-        own = np.zeros(len(names), np.int64)
-        own[code] = roots
-        own, links_found = own.tolist(), []
-        for n, (p, q) in enumerate(zip(x, y, strict=True)):
-            if is_small[p] and is_small[q]:
-                a, b = top(above, own[p]), top(above, own[q])
-                if a != b and similar(small[p], small[q], similarity):
-                    above[a] = b
-                    links_found.append(n)
-        open_ = [n for n, (p, q) in enumerate(zip(x, y, strict=True)) if not (is_small[p] and is_small[q]) and top(above, own[p]) != top(above, own[q])]
-        pairs = pairs[np.array(sorted(links_found + open_), np.int64)]
-        return pa.RecordBatch.from_arrays([names.take(pa.array(c)) for c in (pairs // max(1, len(names)), pairs % max(1, len(names)))], schema=schema)
+                settle(held_pairs)
+                held_pairs, n_held = [np.empty(0, np.int64)], 0
+        settle(held_pairs)
+        ends = np.array(links_found + open_, np.int64).reshape(-1, 2)
+        sure = np.arange(len(ends)) < len(links_found)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(ends[:, 0])), names.take(pa.array(ends[:, 1])), pa.array(sure)], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 8192:
-                whole = pa.Table.from_batches(held)
-                k = np.stack([whole.column(c).to_numpy() for c in keys])
-                apart = np.flatnonzero((k != k[:, -1:]).any(axis=0))
-                if len(apart):  # the last bucket may go on: it waits for the next batch
-                    yield found(whole.slice(0, int(apart[-1]) + 1))
-                    held = whole.slice(int(apart[-1]) + 1).combine_chunks().to_batches()
-        if held:
-            yield found(pa.Table.from_batches(held))
+        yield from map(found, whole_buckets(batches, keys, 8192))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "root").mapInArrow(lean(work), "a binary, b binary, sure boolean").distinct()
+
+
+def joined_sets(fps: list[bytes], sets: list[np.ndarray], labels: np.ndarray, meets: np.ndarray | None, similarity: float) -> list[tuple[bytes, bytes]]:
+    """A forest of the similar pairs of sets of different labels; ``meets`` has blocks, of which only different ones meet.
+
+    Pairs of two sets of fewer than ``MANY`` are left out: ``other_pairs`` has decided them.
+    """
+    bits = np.ascontiguousarray(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)[:, :32]).view("<u8")
+    size, sketches = np.array([len(s) for s in sets]), np.frombuffer(b"".join(map(sketch_of, sets)), "<u2").reshape(len(sets), CLASSES)
+    labels, out = labels.copy(), []
+    for i in range(1, len(fps)):
+        rest = (labels[:i] != labels[i]) & (np.maximum(size[:i], size[i]) >= MANY)
+        if meets is not None:
+            rest &= meets[:i] != meets[i]
+        j = np.flatnonzero(rest & (np.minimum(size[:i], size[i]) >= least_shared(size[:i], size[i], similarity)))
+        j = j[(np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= APART) | (np.minimum(size[j], size[i]) < MANY)]
+        room = most_shared(sketches[j], sketches[i]) - least_shared(size[j], size[i], similarity)
+        for k in j[np.argsort(-room, kind="stable")][: np.count_nonzero(room >= 0)].tolist():  # the likeliest first
+            if labels[k] != labels[i] and similar(sets[k], sets[i], similarity):
+                out.append((fps[k], fps[i]))
+                labels[labels == labels[k]] = labels[i]
+    return out
+
+
+def tree_links(trees: DataFrame, stars: DataFrame, sets: DataFrame, similarity: float, old: list[str]) -> DataFrame:
+    """(a, b): a forest of the similar pairs, not joined by ``stars``, of each tree of open pairs.
+
+    ``trees`` and ``stars`` are (node, root), ``sets`` has fp and sh of every node of ``trees``. A set goes once to each
+    pair of blocks that its tree is dealt into; each pair of blocks is a bucket of its own.
+    """
+    schema, zero = pa.schema([("a", pa.binary()), ("b", pa.binary())]), F.lit(0).cast("long")
+    ends = trees.union(trees.select("root", "root").distinct()).toDF("fp", "tree").withColumn("token", F.xxhash64("tree"))
+    byte = [F.hex(F.substring("fp", 41 + k, 1)) for k in (3, 2, 1, 0)]
+    members = ends.join(stars.toDF("fp", "root"), "fp", "left").select("token", "fp", F.coalesce("root", "fp").alias("root"), F.conv(F.concat(*byte), 16, 10).cast("long").alias("size"))
+    members = written(members, "members", old)
+    blocks = F.ceil(F.greatest(F.count("*") / TREE_ROWS, F.sum("size") / TREE_HASHES, F.lit(1))).cast("long")
+    large = written(members.groupBy("token").agg(F.count("*").alias("n"), blocks.alias("blocks")), "blocks", old)
+    known = looked_up(members, large, ["token"], "n", members.count()).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+    tiles = known.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    tiles = tiles.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "root")
+
+    def found(held: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        k = np.stack([held.column(c).to_numpy() for c in TILE_KEYS])
+        cuts = np.flatnonzero(np.r_[True, (k[:, 1:] != k[:, :-1]).any(axis=0), True])
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            bucket = held.slice(begin, end - begin)
+            sh = bucket.column("sh").combine_chunks()
+            at = sh.offsets.to_numpy()
+            each = np.split(sh.flatten().to_numpy().view(np.uint64), at[1:-1] - at[0])
+            labels = bucket.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+            meets = None if k[1, begin] == k[2, begin] else bucket.column("block").to_numpy()
+            yield from joined_sets(bucket.column("fp").to_pylist(), each, labels, meets, similarity)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "root").mapInArrow(lean(work), "a binary, b binary").distinct()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole_buckets(batches, TILE_KEYS, 1):
+            pairs = list(found(held))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], schema=schema)
+
+    return tiles.join(sets, "fp").select(*tiles.columns, "sh").repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "fp").mapInArrow(lean(work), "a binary, b binary")
 
 
 def keys_of_rows(id_name: str, text_name: str) -> list:
@@ -620,22 +701,28 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, radius: int = 36
     often = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("token", "n")
     shared = written(tokens.join(often, "token").join(distinct.select("id", "fp"), "id").select("token", "n", "at", "fp"), "shared", old)
 
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """fp and sh of both ends; only their texts are read again."""
+        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(distinct, "fp")
+        used = written(wanted.select(*[F.col(f"first.{k}").alias(k) for k in KEYS]), "used", old)
+        return written(shingle_sets(texts.join(used, KEYS, "left_semi").select("doc_id", "text"), 5).dropDuplicates(["fp"]), "shingles", old)
+
     def checked(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar. Only the texts that their sketches leave are read again, for their sets."""
+        """The pairs that are similar, of those that their sketches leave."""
         if pairs.isEmpty():
             return pairs
         left = written(possible(pairs, distinct, similarity, old), "possible", old)
-        wanted = left.select(F.col("a").alias("fp")).union(left.select("b")).distinct().join(distinct, "fp")
-        used = written(wanted.select(*[F.col(f"first.{k}").alias(k) for k in KEYS]), "used", old)
-        sets = written(shingle_sets(texts.join(used, KEYS, "left_semi").select("doc_id", "text"), 5).dropDuplicates(["fp"]), "shingles", old)
-        both = with_both(left, sets, "sh", old, 100).withColumn("n", F.size(F.array_intersect("sh_a", "sh_b")))
+        both = with_both(left, sets_of(left), "sh", old, 100).withColumn("n", F.size(F.array_intersect("sh_a", "sh_b")))
         return written(both.where(F.col("n") >= F.lit(similarity) * (F.size("sh_a") + F.size("sh_b") - F.col("n"))).select("a", "b"), "checked", old)
 
     sub = F.pmod(F.xxhash64("token", "fp"), F.ceil(F.col("n") / HOT)).alias("sub")
     buckets = shared.select(F.pmod("token", F.lit(64)).cast("int").alias("tab"), F.col("token").alias("key"), sub, "fp")
     near = checked(written(links(buckets, ["tab", "key", "sub"], radius, slice(0, 32), first_earlier).distinct(), "links", old))
     stars = components(near)
-    rest = checked(written(other_pairs(shared, stars, distinct, similarity), "others", old))
+    others = written(other_pairs(shared, stars, distinct, similarity), "others", old)
+    rest, open_ = others.where("sure").select("a", "b"), others.where("not sure").select("a", "b")
+    if not open_.isEmpty():
+        rest = rest.union(written(tree_links(components(open_), stars, sets_of(open_), similarity, old), "trees", old))
     if not rest.isEmpty():
         stars = components(near.union(rest))
     groups = named(distinct.select("fp", "n", "first"), stars, kept)
@@ -649,8 +736,8 @@ def similar_texts(docs: DataFrame, *, similarity: float = 0.8, radius: int = 36,
     Texts with one set of shingles are one. Of two similar sets, the prefixes share a shingle. In the
     bucket of each prefix shingle every set is compared with all others by bit-sliced SimHash and linked
     with the first one within the radius; links are checked on the sets. Then the pairs of a bucket that
-    checked links have not joined are checked, too, if their sketches, and SimHash at a distance that similar
-    sets practically never have, leave it possible. The component is named by its smallest id, null if no row has one.
+    checked links have not joined are compared, too, if sizes, places, and SimHash at a distance that similar
+    sets practically never have, leave it possible: small sets in the bucket, others in the tree of such pairs. The component is named by its smallest id, null if no row has one.
     """
     rows, groups = similar_groups(docs, similarity=similarity, radius=radius, id_col=id_col, text_col=text_col)
     facts = groups.select("fp", "n", F.col("best.id").alias("component_id"))
