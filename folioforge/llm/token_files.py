@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import open_store, run_dir, slices, tidy
+from folioforge.llm.common import lean, open_store, run_dir, slices, tidy
 
 MAGIC, TAIL, VERSION = b"PLANETOK", b"PLANEEND", 1
 HEAD, FOOT, ENTRY = struct.Struct("<8sBBHI"), struct.Struct("<QIQIIIQQI8s"), struct.Struct("<QIIH")
@@ -52,8 +52,8 @@ KINDS = {"byte": 1, "bit": 2}
 MANIFEST = "part int, seq int, path string, n_ids long, n_docs long, n_bytes long, first_id long, last_id long"
 #: Pieces, and words, that a worker keeps encoded.
 CACHE = 500_000
-#: Characters encoded together: the more, the fewer pieces are looked up twice.
-AT_ONCE = 16_000_000
+#: Characters encoded together: the more, the fewer pieces are looked up twice, and the more memory a worker takes.
+AT_ONCE = 8_000_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -328,15 +328,17 @@ def piece_of(key: str) -> str:
 
 
 def joined(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of several batches together, up to a number of characters in all."""
+    """Ids and texts of several batches, or of a part of one, that have a number of characters together; the last text may
+    go beyond it."""
     doc_ids, texts, held = [], [], 0
     for batch in slices(batches):
-        doc_ids += batch.column(0).to_pylist()
-        texts += batch.column(1).to_pylist()
-        held += sum(map(len, texts[len(texts) - batch.num_rows :]))
-        if held >= characters:
-            yield doc_ids, texts
-            doc_ids, texts, held = [], [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            doc_ids.append(doc_id)
+            texts.append(text)
+            held += len(text)
+            if held >= characters:
+                yield doc_ids, texts
+                doc_ids, texts, held = [], [], 0
     if texts:
         yield doc_ids, texts
 
@@ -387,7 +389,7 @@ def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, directory
             yield done()
 
     with tidy(spark):
-        ordered.mapInArrow(work, MANIFEST).write.parquet(f"{folder}/manifest")
+        ordered.mapInArrow(lean(work), MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -424,4 +426,4 @@ def read_documents(spark, folder: str, *, with_ids: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return kept.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids)
+    return kept.mapInArrow(lean(work), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids)
