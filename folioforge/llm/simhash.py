@@ -514,7 +514,7 @@ def other_pairs(shared: DataFrame, stars: DataFrame, sets: DataFrame, similarity
     """
     keys = TILE_KEYS
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sure", pa.bool_())])
-    known = shared.distinct().join(stars.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = shared.join(stars.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = written(known.join(sets.where("small is not null").select("fp", "small"), "fp", "left"), "labelled")
     zero = F.lit(0).cast("long")
     rows = known.where(F.col("n") <= HOT).select("token", zero.alias("lo"), zero.alias("hi"), zero.alias("block"), "fp", "at", "root", "small")
@@ -659,6 +659,15 @@ def keys_of_rows(id_name: str, text_name: str) -> list:
 
 
 KEYS = ["_i", "_z", "_h"]
+#: Classes of KEYS by hash: as many numbers, at most, are broadcast to keep the other rows' texts from a shuffle.
+SLOTS = 1 << 22
+
+
+def chosen(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """The rows whose KEYS are in ``used``; of the others, few are shuffled."""
+    slot = F.pmod(F.xxhash64(*KEYS), F.lit(SLOTS).cast("long"))
+    slots = used.select(slot.alias("_slot")).distinct()
+    return rows.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot").join(used, KEYS, "left_semi")
 
 
 def with_both(pairs: DataFrame, facts: DataFrame, name: str, old: list[str], groups: int) -> DataFrame:
@@ -695,17 +704,25 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, radius: int = 36
     spark, old = docs.sparkSession, []
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("doc_id", "text", *keys_of_rows("doc_id", "text"))
-    marked = written(prefixes(texts, 5, similarity), "fingerprints", kept)
-    distinct = written(marked.groupBy("fp", "id").agg(least_id("doc_id", *KEYS).alias("first"), F.count("*").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("small", ignorenulls=True).alias("small")), "distinct", old)
-    tokens = marked.where("prefix is not null").select("id", F.posexplode("prefix").alias("at", "token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("token", "n")
-    shared = written(tokens.join(often, "token").join(distinct.select("id", "fp"), "id").select("token", "n", "at", "fp"), "shared", old)
+    prints, whole, common = [], [], []  # what goes before the search, as only its start needs the prefixes
+    every = written(prefixes(texts, 5, similarity), "prints", prints)
+    marked = written(every.select("doc_id", "fp", *KEYS), "fingerprints", kept)
+    firsts = [F.first(c, ignorenulls=True).alias(c) for c in ("sketch", "small", "prefix")]
+    each = written(every.groupBy("fp", "id").agg(least_id("doc_id", *KEYS).alias("first"), F.count("*").alias("n"), *firsts), "sets", whole)
+    remove(spark, *prints)
+    # a set has each of its shingles once, so two rows of a shingle are two sets; its rows are shuffled once, and after its counts
+    tokens = each.select("id", F.posexplode("prefix").alias("at", "token"))
+    often = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "often", common)
+    shared = written(tokens.join(often, "token").join(each.select("id", "fp"), "id").select("token", "n", "at", "fp"), "shared", old)
+    remove(spark, *common)
+    distinct = written(each.drop("prefix"), "distinct", old)
+    remove(spark, *whole)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """fp and sh of both ends; only their texts are read again."""
         wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(distinct, "fp")
         used = written(wanted.select(*[F.col(f"first.{k}").alias(k) for k in KEYS]), "used", old)
-        return written(shingle_sets(texts.join(used, KEYS, "left_semi").select("doc_id", "text"), 5).dropDuplicates(["fp"]), "shingles", old)
+        return written(shingle_sets(chosen(texts, used).select("doc_id", "text"), 5).dropDuplicates(["fp"]), "shingles", old)
 
     def checked(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar, of those that their sketches leave."""
@@ -727,7 +744,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, radius: int = 36
         stars = components(near.union(rest))
     groups = named(distinct.select("fp", "n", "first"), stars, kept)
     remove(spark, *old)
-    return marked.select("doc_id", "fp", *KEYS), groups
+    return marked, groups
 
 
 def similar_texts(docs: DataFrame, *, similarity: float = 0.8, radius: int = 36, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
