@@ -31,10 +31,12 @@ the order of their texts' hashes; an empty table writes no file; other columns a
 from __future__ import annotations
 
 import gc
+import json
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,8 +52,8 @@ MAGIC, TAIL, VERSION = b"PLANETOK", b"PLANEEND", 1
 HEAD, FOOT, ENTRY = struct.Struct("<8sBBHI"), struct.Struct("<QIQIIIQQI8s"), struct.Struct("<QIIH")
 KINDS = {"byte": 1, "bit": 2}
 MANIFEST = "part int, seq int, path string, n_ids long, n_docs long, n_bytes long, first_id long, last_id long"
-#: Pieces, and words, that a worker keeps encoded.
-CACHE = 500_000
+#: Pieces that a worker keeps encoded.
+CACHE = 1_000_000
 #: Characters encoded together: the more, the fewer pieces are looked up twice, and the more memory a worker takes.
 AT_ONCE = 8_000_000
 
@@ -221,17 +223,32 @@ class TextEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces = Pieces()
-        self.words: dict[str, bytes] = {}
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that the cache lacks; they enter it while there is room."""
-        out = {}
-        for begin in range(0, len(words), 20_000):
-            chunk = words[begin : begin + 20_000]
-            for word, found in zip(chunk, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False), strict=True):
-                out[word] = np.array(found.ids, "<u4").tobytes()
-        if len(self.words) < CACHE:
-            self.words.update((w, x) for w, x in out.items() if len(w) <= 64)
+        self.sizes = token_sizes(self.tokenizer)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words. Words of one space and no other white space at an end are encoded together, many as one text."""
+        out: list[bytes] = [b""] * len(words)
+        joint = [k for k, w in enumerate(words) if w[:1] == " " and len(w) > 1 and not w[1].isspace() and not w[-1].isspace()] if self.sizes is not None else []
+        for begin in range(0, len(joint), 20_000):
+            places = joint[begin : begin + 20_000]
+            texts = ["".join([words[k] for k in places[at : at + 500]]) for at in range(0, len(places), 500)]
+            if self.added and any(map(self.added.search, texts)):
+                continue
+            ids = np.concatenate([np.array(found.ids, "<u4") for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            tokens = np.cumsum(self.sizes[ids])
+            ends = np.cumsum([len(words[k].encode()) for k in places])
+            last = np.searchsorted(tokens, ends)
+            if tokens[-1] != ends[-1] or not np.array_equal(tokens[last], ends):
+                continue  # a token goes from one word to the next
+            stream, at = ids.tobytes(), 0
+            for k, end in zip(places, (4 * (last + 1)).tolist(), strict=True):
+                out[k] = stream[at:end]
+                at = end
+        alone = [k for k, found in enumerate(out) if not found]
+        for begin in range(0, len(alone), 20_000):
+            places = alone[begin : begin + 20_000]
+            for k, found in zip(places, self.tokenizer.encode_batch_fast([words[k] for k in places], add_special_tokens=False), strict=True):
+                out[k] = array("I", found.ids).tobytes()
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -248,14 +265,22 @@ class TextEncoder:
             out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
-    def _ids(self, keys: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not kept yet."""
-        parts = {key: INSIDE.split(piece_of(key)) for key in keys.difference(self.pieces)}
-        known = self.words
-        new = self._words(list({w for words in parts.values() for w in words if w not in known}))
-        fresh = {key: b"".join([new[w] if w in new else known[w] for w in words]) for key, words in parts.items()}
-        if len(self.pieces) < CACHE:
-            self.pieces.update((p, x) for p, x in fresh.items() if len(p) <= 64)
+    def _ids(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of different pieces that are not kept yet; they, and their parts, are kept while there is room."""
+        kept, parts, lone = self.pieces, {}, {}
+        for key in keys:
+            # letters and digits alone are not cut
+            found = () if key.isalnum() else INSIDE.split(piece_of(key))
+            if len(found) > 1:
+                parts[key] = [key_of(word) for word in found]
+            else:
+                lone[key] = None
+        lone.update((w, None) for words in parts.values() for w in words if w not in kept)
+        fresh = dict(zip(lone, self._words([piece_of(key) for key in lone]), strict=True))
+        for key, words in parts.items():
+            fresh[key] = b"".join([fresh[w] if w in fresh else kept[w] for w in words])
+        if len(kept) < CACHE:
+            kept.update((p, x) for p, x in fresh.items() if len(p) <= 64)
         return fresh
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
@@ -268,17 +293,21 @@ class TextEncoder:
         numbered = pieces.flatten().dictionary_encode()
         number, words = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
         begins = pieces.offsets.to_numpy()[:-1]
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
+        odd = blank_ended(numbered.dictionary)
         irregular = np.logical_or.reduceat(odd[number], begins)
         cuts = {k: cut(texts[k]) for k in np.flatnonzero(irregular).tolist()}
         firsts = {k: " " + words[number[begins[k]]] for k in np.flatnonzero(~irregular).tolist()}
         needed = np.zeros(len(words), bool)
         needed[number[~np.repeat(irregular, pieces.value_lengths().to_numpy())]] = True
-        keys = [w if need else "" for w, need in zip(words, needed.tolist(), strict=True)]
-        fresh = self._ids({k for k in keys if k}.union(firsts.values(), *cuts.values()))
+        known = self.pieces.get
+        bodies = [known(w) if need else b"" for w, need in zip(words, needed.tolist(), strict=True)]
+        lacking = [k for k, body in enumerate(bodies) if body is None]
+        more = set().union(firsts.values(), *cuts.values()).difference(self.pieces)
+        fresh = self._ids(list(dict.fromkeys([*[words[k] for k in lacking], *more])))
+        for k in lacking:
+            bodies[k] = fresh[words[k]]
         self.pieces.fresh = fresh
         get = self.pieces.__getitem__
-        bodies = [get(k) if k else b"" for k in keys]
         values = np.frombuffer(b"".join(bodies), "<u4")
         sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
         starts = np.cumsum(sizes) - sizes
@@ -313,6 +342,12 @@ INSIDE = re.compile(r"(?<=[^\W_])(?=[.,;:!?|\n])|(?<=\S\n)(?=[^\W_])")
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
+def blank_ended(words: pa.Array) -> np.ndarray:
+    """Whether words are empty or have white space at an end."""
+    sizes = pc.binary_length(pc.utf8_trim_whitespace(words)).to_numpy()
+    return (sizes == 0) | (sizes < pc.binary_length(words).to_numpy())
+
+
 def cut(text: str | None) -> list[str]:
     """Keys of a text's pieces: the piece without the space that it begins with; the first, which begins
     with none, behind a space."""
@@ -327,6 +362,11 @@ def piece_of(key: str) -> str:
     return key[1:] if key[0] == " " else " " + key
 
 
+def key_of(piece: str) -> str:
+    """The key that ``piece_of`` makes a piece of."""
+    return piece[1:] if piece[0] == " " and piece[1:2] not in ("", " ") else " " + piece
+
+
 def joined(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of several batches, or of a part of one, that have a number of characters together; the last text may
     go beyond it."""
@@ -343,6 +383,18 @@ def joined(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tuple
         yield doc_ids, texts
 
 
+def token_sizes(tokenizer) -> np.ndarray | None:
+    """Bytes of each token, 0 for added ones; none if tokens do not stand for bytes of the text as it is."""
+    form = json.loads(tokenizer.to_str())
+    if form["normalizer"] is not None or (form["pre_tokenizer"] or {}).get("type") != "ByteLevel" or form["pre_tokenizer"]["add_prefix_space"]:
+        return None
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    sizes = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
+    for token, k in vocabulary.items():
+        sizes[min(k, len(sizes) - 1)] = len(token)
+    return sizes if max(vocabulary.values(), default=0) < len(sizes) else None
+
+
 @lru_cache(maxsize=2)
 def text_encoder(path: str, special_as_text: bool = False) -> TextEncoder:
     return TextEncoder(path, special_as_text)
